@@ -21,16 +21,15 @@ def _no_map() -> Column:
     return F.create_map().cast("map<string,string>")
 
 
+def _put_over(under: Column, top: Column) -> Column:
+    rest = F.map_filter(under, lambda k, _: ~F.map_contains_key(top, k))
+    return F.map_concat(rest, top)
+
+
 def merge_maps(wide: Column, narrow: Column, forced: Column | None = None) -> Column:
     """Union of maps; on the same key forced wins over narrow, narrow over wide."""
-    merged = F.coalesce(wide, _no_map())
-    for winner in (narrow, forced):
-        if winner is None:
-            continue
-        top = F.coalesce(winner, _no_map())
-        rest = F.map_filter(merged, lambda k, _, top=top: ~F.map_contains_key(top, k))
-        merged = F.map_concat(rest, top)
-    return merged
+    merged = _put_over(F.coalesce(wide, _no_map()), F.coalesce(narrow, _no_map()))
+    return merged if forced is None else _put_over(merged, F.coalesce(forced, _no_map()))
 
 
 def concat_scopes(wide: Column, narrow: Column) -> Column:

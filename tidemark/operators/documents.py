@@ -7,14 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.documents import (
-    canonical_json,
-    comparable,
-    json_claims,
-    json_includes,
-    json_nodes,
-    map_like,
-)
+from tidemark.functions.documents import canonical_json, drift_items, json_includes, map_like
 
 
 def _list(cols: str | Iterable[str]) -> list[str]:
@@ -27,41 +20,21 @@ def _kind_at(node: Column) -> Column:
 
 def compare_includes(df: DataFrame, current: str, desired: str) -> DataFrame:
     """Add ``included`` and, where a document is no JSON map, ``error``."""
-    cur, des = F.col(current), F.col(desired)
-    return df.withColumn("included", json_includes(cur, des)).withColumn(
-        "error",
-        F.when(~map_like(cur), F.lit("error parsing current JSON")).when(
-            ~map_like(des), F.lit("error parsing desired JSON")
-        ),
-    )
+    included = df.withColumn("included", json_includes(F.col(current), F.col(desired)))
+    return included.withColumn("error", F.when(F.col("included").isNull(), F.lit("error parsing JSON")))
 
 
 def json_drift(df: DataFrame, key: str | Iterable[str], current: str, desired: str) -> DataFrame:
     """One row per path of desired that current lacks or holds differently.
 
-    ``path`` is a JSON list of keys, ``state`` is ``missing`` or ``differs``.
-    A list differs if current lacks one of its members.
+    ``path`` reads ``["a"]["b"]``, ``state`` is ``missing`` or ``differs``. A
+    list differs if current lacks one of its members. Documents that are no
+    JSON maps have no drift; ``compare_includes`` reports them.
     """
     keys = _list(key)
-    cur, des = comparable(F.col(current), F.col(desired))
-    both = df.where(map_like(F.col(current)) & map_like(F.col(desired))).where(
-        ~canonical_json(cur).eqNullSafe(canonical_json(des))
-    )
-    opened = both.select(*keys, json_nodes(cur).alias("__cur"), json_nodes(des).alias("__des"))
-    nodes = opened.select(
-        *keys,
-        F.transform("__cur", lambda n: F.to_json(n["path"])).alias("__paths"),
-        json_claims(F.col("__cur")).alias("__claims"),
-        F.explode(F.filter("__des", lambda n: F.size(n["path"]) > 0)).alias("__node"),
-    )
-    path = F.to_json(F.col("__node.path"))
-    unmet = F.size(F.array_except(json_claims(F.array("__node")), F.col("__claims"))) > 0
-    return nodes.where(unmet).select(
-        *keys,
-        path.alias("path"),
-        F.when(F.array_contains("__paths", path), F.lit("differs")).otherwise(F.lit("missing")).alias("state"),
-        F.col("__node.json").alias("desired"),
-    )
+    unequal = df.where(~F.col(current).eqNullSafe(F.col(desired)))
+    items = unequal.select(*keys, F.explode(drift_items(F.col(current), F.col(desired))).alias("__item"))
+    return items.select(*keys, "__item.*")
 
 
 def resolve_spec(df: DataFrame, native: str = "native", text: str = "text") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _RUN = "__run"
+_REAL = "__real"
 _SIDE = "__side"
 
 
@@ -21,13 +22,15 @@ def _runs(df: DataFrame, coarse: Column | str) -> DataFrame:
     return df.withColumn(_RUN, F.col(coarse) if isinstance(coarse, str) else coarse)
 
 
-def _with_side(rows: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
-    """Add one column per run, null-safe on the keys."""
-    renamed = side.select(*[F.col(k).alias(f"{_SIDE}_{i}") for i, k in enumerate(keys)], _SIDE)
-    match = F.lit(True)
-    for i, k in enumerate(keys):
-        match = match & rows[k].eqNullSafe(renamed[f"{_SIDE}_{i}"])
-    return rows.join(renamed, match, "left").drop(*[f"{_SIDE}_{i}" for i in range(len(keys))])
+def _with_side(rows: DataFrame, side: DataFrame) -> DataFrame:
+    """Put one more row in front of each run that has something to carry.
+
+    A union needs no join: rows and carried rows meet in the one shuffle of
+    the window that follows.
+    """
+    return rows.withColumn(_REAL, F.lit(True)).unionByName(
+        side.withColumn(_REAL, F.lit(False)), allowMissingColumns=True
+    )
 
 
 def row_number_in_runs(
@@ -40,10 +43,9 @@ def row_number_in_runs(
     before = Window.partitionBy(*group).orderBy(_RUN).rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     starts = sizes.select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(_SIDE))
-    inside = Window.partitionBy(*keys).orderBy(*order)
-    return (
-        _with_side(rows, starts, keys).withColumn(out, F.col(_SIDE) + F.row_number().over(inside)).drop(_RUN, _SIDE)
-    )
+    inside = Window.partitionBy(*keys).orderBy(_REAL, *order)
+    number = F.sum(_SIDE).over(inside.rowsBetween(Window.unboundedPreceding, 0)) + F.row_number().over(inside) - 1
+    return _with_side(rows, starts).withColumn(out, number).where(_REAL).select(*df.columns, out)
 
 
 def previous_in_runs(
@@ -53,12 +55,10 @@ def previous_in_runs(
     key, order = list(key), list(order)
     rows = _runs(df, coarse)
     keys = [*key, _RUN]
-    lasts = rows.groupBy(*keys).agg(F.max_by(F.struct(F.col(value).alias("value")), F.struct(*order)).alias("__last"))
+    boxed = F.struct(F.col(value).alias("value"))
+    lasts = rows.groupBy(*keys).agg(F.max_by(boxed, F.struct(*order)).alias("__last"))
     along = Window.partitionBy(*key).orderBy(_RUN)
-    carried = lasts.select(*keys, F.lag("__last").over(along).alias(_SIDE))
-    inside = Window.partitionBy(*keys).orderBy(*order)
-    return (
-        _with_side(rows, carried, keys)
-        .withColumn(out, F.coalesce(F.lag(F.struct(F.col(value).alias("value"))).over(inside), F.col(_SIDE)))
-        .drop(_RUN, _SIDE)
-    )
+    carried = lasts.select(*keys, F.lag("__last").over(along).alias(_SIDE)).where(F.col(_SIDE).isNotNull())
+    inside = Window.partitionBy(*keys).orderBy(_REAL, *order)
+    own = F.when(F.col(_REAL), boxed).otherwise(F.col(_SIDE))
+    return _with_side(rows, carried).withColumn(out, F.lag(own).over(inside)).where(_REAL).select(*df.columns, out)

@@ -84,7 +84,7 @@ def includes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "json_drift",
-    """SELECT o_orderkey, '["detail","customer","id"]' AS path, 'differs' AS state,
+    """SELECT o_orderkey, '["detail"]["customer"]["id"]' AS path, 'differs' AS state,
               CAST(o_custkey + 1 AS VARCHAR) AS desired FROM orders WHERE o_orderstatus = 'F'
        UNION ALL
        SELECT o_orderkey, '["note"]', 'missing', 'null' FROM orders WHERE o_orderpriority = '1-URGENT'""",

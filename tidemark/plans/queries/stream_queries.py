@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,7 @@ STREAM_SPEC = IngestSpec(
     segment_granularity="HOUR",
     query_granularity="NONE",
 )
+DAY_SPEC = replace(STREAM_SPEC, segment_granularity="DAY", query_granularity="HOUR")
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,8 +57,8 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "stream")
-    stream_ingest(value_stream(spark, sf_dir), STREAM_SPEC, folder, f"{folder}/checkpoint").awaitTermination()
-    partial = read_stream_table(spark, folder, STREAM_SPEC.data_source)
+    stream_ingest(value_stream(spark, sf_dir), DAY_SPEC, folder, f"{folder}/checkpoint").awaitTermination()
+    partial = read_stream_table(spark, folder, DAY_SPEC.data_source)
     days = compact(partial, "DAY", [DIMS], VALUE_METRICS, query_granularity="DAY")
     return expand_dimensions(days, ["event_type"])
 
