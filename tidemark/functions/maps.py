@@ -51,4 +51,4 @@ def flag_set(annotations: Column, key: str) -> Column:
 
 def sorted_map_json(col: Column) -> Column:
     """A map as JSON text with sorted keys, so that it can be a grouping key."""
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(col))))
+    return F.to_json(F.map_from_entries(F.sort_array(F.map_entries(col))))

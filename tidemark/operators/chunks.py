@@ -70,7 +70,7 @@ def assign_segment(
     """
     coarse = F.date_trunc("minute", F.col(TIME)) if coarse is None else coarse
     numbered = row_number_in_runs(df, [CHUNK], [TIME, *order], coarse, "__rn")
-    return numbered.withColumn(SEGMENT, F.floor((F.col("__rn") - 1) / max_rows).cast("bigint")).drop("__rn")
+    return numbered.withColumn(SEGMENT, F.expr(f"(__rn - 1) div {int(max_rows)}")).drop("__rn")
 
 
 def chunk_summary(df: DataFrame, max_rows: int = MAX_ROWS_PER_SEGMENT) -> DataFrame:

@@ -32,14 +32,13 @@ def merge_referenced(
     ``maps`` holds each name once. A reference to no map is skipped; a key of
     which no reference is found gets an empty map.
     """
-    listed = df.select(key, F.posexplode(refs).alias("__at", "__ref"))
+    listed = df.select(key, F.posexplode_outer(refs).alias("__at", "__ref"))
     named = maps.select(F.col(name).alias("__ref"), F.col(data).alias("__data"))
-    entries = listed.join(named, "__ref").select(key, "__at", F.explode("__data").alias("__k", "__v"))
-    winners = entries.groupBy(key, "__k").agg(F.max_by("__v", "__at").alias("__v"))
-    # a list of one row's own entries: as long as the row's merged map
-    merged = winners.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("__k", "__v")))).alias("merged"))
-    empty = F.create_map().cast("map<string,string>")
-    return df.select(key).join(merged, key, "left").select(key, F.coalesce("merged", empty).alias("merged"))
+    entries = listed.join(named, "__ref", "left").select(key, "__at", F.explode_outer("__data").alias("__k", "__v"))
+    # one shuffle by key serves both groupings, which are as small as a row's own maps
+    winners = entries.repartition(key).groupBy(key, "__k").agg(F.max_by("__v", "__at").alias("__v"))
+    found = F.collect_list(F.when(F.col("__k").isNotNull(), F.struct("__k", "__v")))
+    return winners.groupBy(key).agg(F.map_from_entries(F.sort_array(found)).alias("merged"))
 
 
 def find_duplicates(df: DataFrame, group: str | Iterable[str], name: str, position: str) -> DataFrame:
