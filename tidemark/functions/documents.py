@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 import sys
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -80,42 +81,37 @@ class _Reader:
         return None
 
 
-def _claims(doc: object) -> dict[tuple, tuple[tuple, object]]:
-    """What a document claims: each claim -> path and node that make it.
+def _mark(member: object) -> object:
+    """A hashable stand-in; scalars keep their kind, as Python takes true for 1."""
+    return _ENCODER.encode(member) if isinstance(member, (dict, list)) else (member.__class__, member)
 
-    A scalar claims its value, a list claims to be a list and to hold each of
-    its members, an object claims to be an object. One document contains
-    another exactly if it makes all of its claims.
+
+def _holds(have: object, want: object) -> bool:
+    """Whether a value that is not a pair of objects satisfies the wanted one."""
+    if have.__class__ is not want.__class__:
+        return False
+    if isinstance(want, list):
+        return {_mark(m) for m in want} <= {_mark(m) for m in have}
+    return have == want
+
+
+def _gaps(current: object, desired: object) -> Iterator[tuple[tuple, str, object]]:
+    """Path, state and wanted node of all that current lacks or holds differently.
+
+    A null document is an empty map: it wants nothing and holds nothing.
     """
-    made: dict[tuple, tuple[tuple, object]] = {}
-    todo: list[tuple[tuple, object]] = [((), doc)]
+    absent = object()
+    todo = [((), current or {}, desired or {})]
     while todo:
-        at, node = todo.pop()
-        kind = node.__class__
-        if kind is dict:
-            made[at, kind] = (at, node)
-            todo.extend(((*at, key), value) for key, value in node.items())
-        elif kind is list:
-            made[at, kind] = (at, node)
-            made.update(((at, kind, _ENCODER.encode(member)), (at, node)) for member in node)
-        else:
-            # the kind keeps true and 1 apart
-            made[at, kind, node] = (at, node)
-    return made
-
-
-def _unmet(current: object, desired: object) -> dict[tuple, tuple[str, object]]:
-    """Path -> state and node for what desired claims and current does not.
-
-    A null document is an empty map: it claims nothing and meets nothing.
-    """
-    want = _claims(desired or {})
-    have = _claims(current or {})
-    lacking = want.keys() - have.keys()
-    if not lacking:
-        return {}
-    present = {at for at, _ in have.values()}
-    return {want[c][0]: ("differs" if want[c][0] in present else "missing", want[c][1]) for c in lacking}
+        at, have, want = todo.pop()
+        for key, node in want.items():
+            found = have.get(key, absent)
+            if found is absent:
+                yield (*at, key), "missing", node
+            elif isinstance(node, dict) and isinstance(found, dict):
+                todo.append(((*at, key), found, node))
+            elif not _holds(found, node):
+                yield (*at, key), "differs", node
 
 
 def _equal(first: tuple[bool, object], second: tuple[bool, object]) -> bool | None:
@@ -126,19 +122,18 @@ def _equal(first: tuple[bool, object], second: tuple[bool, object]) -> bool | No
 
 
 def _drift_rows(pair: tuple[object, object] | None) -> list[dict[str, str]]:
-    unmet = _unmet(*pair) if pair else {}
     return [
         {
             "path": "".join(f"[{_ENCODER.encode(key)}]" for key in path),
             "state": state,
             "desired": _ENCODER.encode(node),
         }
-        for path, (state, node) in sorted(unmet.items(), key=lambda item: item[0])
+        for path, state, node in sorted(_gaps(*pair) if pair else (), key=lambda gap: gap[0])
     ]
 
 
 def _included(pair: tuple[object, object] | None) -> bool | None:
-    return None if pair is None else pair[0] is pair[1] or not _unmet(*pair)
+    return None if pair is None else pair[0] is pair[1] or next(_gaps(*pair), None) is None
 
 
 @F.pandas_udf(T.BooleanType())
@@ -170,5 +165,5 @@ def json_includes(current: Column, desired: Column) -> Column:
 
 
 def drift_items(current: Column, desired: Column) -> Column:
-    """``array<struct<path, state, desired>>`` of what desired claims and current does not."""
+    """``array<struct<path, state, desired>>`` of what current lacks or holds differently."""
     return _json_drift(current, desired)

@@ -23,8 +23,8 @@ def dimension_value(col: Column, type_: str) -> Column:
         return col.cast("string")
     text = col.cast("string")
     if type_ == "long":
-        # text of a fraction has no direct cast to a whole number: go through a decimal
-        return F.coalesce(text.try_cast("bigint"), text.try_cast("decimal(38,9)").try_cast("bigint"))
+        # by way of a decimal: it takes fractions, and a failed cast to a whole number is slow
+        return text.try_cast("decimal(38,9)").try_cast("bigint")
     if type_ in ("double", "float"):
         return text.try_cast(type_)
     raise ValueError(f"unknown dimension type: {type_!r}")
