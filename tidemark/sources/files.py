@@ -20,7 +20,7 @@ def read_json(
 
     Every declared field is read as text, so that one field of the wrong type
     does not spoil its row. A line that is no JSON object has all fields null
-    and its text in ``__bad``.
+    and its text in ``__bad``; Spark wants another column read along with it.
     """
     if schema is None:
         schema = T.StructType([T.StructField(n, T.StringType()) for n in text_fields or []])
