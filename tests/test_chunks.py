@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import ordering
 from tidemark.operators.chunks import assign_segment, chunk_summary, compact
 from tidemark.operators.ordering import previous_in_runs, row_number_in_runs
 from tidemark.operators.retention import (
@@ -33,26 +34,38 @@ def skewed(spark, seed, n=600):
     return spark.createDataFrame(rows, "k string, t timestamp, i int, s string").repartition(5)
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_row_numbers_equal_a_plain_window(spark, seed):
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("heavy", [0, 150, 10_000])
+def test_row_numbers_equal_a_plain_window(spark, seed, heavy):
     df = skewed(spark, seed)
-    got = row_number_in_runs(df, ["k"], ["t", "i"], F.date_trunc("hour", "t"), "rn")
+    got = row_number_in_runs(df, ["k"], ["t", "i"], F.date_trunc("hour", "t"), "rn", heavy)
     want = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("t", "i")))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
-@pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("grain", ["minute", "hour", "year"])
-def test_previous_equals_a_plain_lag(spark, seed, grain):
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize(("grain", "heavy"), [("minute", 0), ("hour", 0), ("year", 0), ("hour", 150), ("hour", 10_000)])
+def test_previous_equals_a_plain_lag(spark, seed, grain, heavy):
     df = skewed(spark, seed)
-    got = previous_in_runs(df, ["k"], ["t", "i"], "s", F.date_trunc(grain, "t"), "p")
+    got = previous_in_runs(df, ["k"], ["t", "i"], "s", F.date_trunc(grain, "t"), "p", heavy)
     want = df.withColumn("p", F.lag(F.struct(F.col("s").alias("value"))).over(Window.partitionBy("k").orderBy("t", "i")))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
-def test_segments_are_full_and_ordered(spark):
+def test_only_heavy_groups_are_cut(spark, monkeypatch):
+    df = skewed(spark, 1)
+    whole = previous_in_runs(df, ["k"], ["t", "i"], "s", F.date_trunc("hour", "t"), "p")
+    assert "__run" not in whole._jdf.queryExecution().optimizedPlan().toString()
+    # too many heavy groups to name them: all are cut, with the same result
+    monkeypatch.setattr(ordering, "MAX_NAMED", 1)
+    cut = previous_in_runs(df, ["k"], ["t", "i"], "s", F.date_trunc("hour", "t"), "p", 10)
+    assert sorted(map(str, cut.collect())) == sorted(map(str, whole.collect()))
+
+
+@pytest.mark.parametrize("heavy", [10, 10_000])
+def test_segments_are_full_and_ordered(spark, heavy):
     df = assign_chunk(skewed(spark, 9).withColumnRenamed("t", TIME), "DAY")
-    got = assign_segment(df, ["i"], max_rows=50)
+    got = assign_segment(df, ["i"], max_rows=50, heavy_rows=heavy)
     sizes = got.groupBy(CHUNK, SEGMENT).agg(F.count(F.lit(1)).alias("n"), F.min(TIME).alias("a"), F.max(TIME).alias("b")).collect()
     for chunk in {r[CHUNK] for r in sizes}:
         parts = sorted((r for r in sizes if r[CHUNK] == chunk), key=lambda r: r[SEGMENT])

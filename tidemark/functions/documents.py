@@ -10,7 +10,6 @@ All else is built from Spark's own functions.
 from __future__ import annotations
 
 import json
-import re
 import sys
 from collections.abc import Iterator
 
@@ -42,8 +41,6 @@ def content_hash(*cols: Column | str) -> Column:
     return F.base64(F.unhex(F.sha1(F.to_json(F.struct(*cols)))))
 
 
-# Whole numbers of fewer digits are the same as doubles, so they need no conversion.
-_LONG_NUMBER = re.compile(r"\d{16}")
 _ENCODER = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
@@ -54,21 +51,25 @@ def _number(text: str) -> int | float:
     return int(value) if value.is_integer() and abs(value) < 2**53 else value
 
 
+def _whole(text: str) -> int | float:
+    # a whole number of up to 15 digits is the same as a double
+    return int(text) if len(text) < 16 else _number(text)
+
+
 def _no_constant(text: str) -> None:
     raise ValueError(f"not JSON: {text}")
 
 
 class _Reader:
-    """Reads documents; made once per batch, as its decoders cannot travel with a job."""
+    """Reads documents; made once per batch, as its decoder cannot travel with a job."""
 
     def __init__(self) -> None:
-        self.plain = json.JSONDecoder(parse_float=_number, parse_constant=_no_constant).decode
-        self.wide = json.JSONDecoder(parse_float=_number, parse_int=_number, parse_constant=_no_constant).decode
+        self.decode = json.JSONDecoder(parse_float=_number, parse_int=_whole, parse_constant=_no_constant).decode
 
     def read(self, text: str | None) -> tuple[bool, object]:
         """Whether the text is JSON, and what it says; of a repeated key the last counts."""
         try:
-            return True, (self.wide if _LONG_NUMBER.search(text) else self.plain)(text)
+            return True, self.decode(text)
         except (TypeError, ValueError, RecursionError):
             return False, None
 
@@ -114,11 +115,15 @@ def _gaps(current: object, desired: object) -> Iterator[tuple[tuple, str, object
                 yield (*at, key), "differs", node
 
 
-def _equal(first: tuple[bool, object], second: tuple[bool, object]) -> bool | None:
-    if not (first[0] and second[0]):
+def _equal(reader: _Reader, a: str | None, b: str | None) -> bool | None:
+    (ok_a, left), (ok_b, right) = reader.read(a), reader.read(b)
+    if not (ok_a and ok_b):
         return None
-    # Python takes true for 1 and false for 0, so equal documents are compared as text too
-    return first[1] == second[1] and _ENCODER.encode(first[1]) == _ENCODER.encode(second[1])
+    if left != right:
+        return False
+    # Python takes true for 1 and false for 0: where these words occur, compare as text too
+    words = "true" in a or "false" in a or "true" in b or "false" in b
+    return not words or _ENCODER.encode(left) == _ENCODER.encode(right)
 
 
 def _drift_rows(pair: tuple[object, object] | None) -> list[dict[str, str]]:
@@ -138,8 +143,8 @@ def _included(pair: tuple[object, object] | None) -> bool | None:
 
 @F.pandas_udf(T.BooleanType())
 def _json_equal(left: pd.Series, right: pd.Series) -> pd.Series:
-    read = _Reader().read
-    return pd.Series([_equal(read(a), read(b)) for a, b in zip(left, right)], dtype="object")
+    reader = _Reader()
+    return pd.Series([_equal(reader, a, b) for a, b in zip(left, right)], dtype="object")
 
 
 @F.pandas_udf(T.BooleanType())

@@ -1,7 +1,8 @@
 """Row numbers and predecessors in large, unevenly sized groups.
 
-A plain window puts a whole group into one task. Here a group is first cut
-into runs by a *coarse* column, one that never decreases along the order (a
+A plain window puts a whole group into one task. That is right for most
+groups, so the heavy ones are found first, by a count per group. Only they are
+cut into runs by a *coarse* column, one that never decreases along the order (a
 day for a time, a quotient for a number). A task then sorts one run, and what
 crosses runs, a count or a last value, is one small row per run.
 """
@@ -13,13 +14,34 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# A group of up to this many rows stays whole.
+HEAVY_ROWS = 2_000_000
+
+# No more heavy groups than this are named one by one; beyond, all groups are cut.
+MAX_NAMED = 100_000
+
 _RUN = "__run"
+_HEAVY = "__heavy"
 _REAL = "__real"
 _SIDE = "__side"
 
 
-def _runs(df: DataFrame, coarse: Column | str) -> DataFrame:
-    return df.withColumn(_RUN, F.col(coarse) if isinstance(coarse, str) else coarse)
+def _cut(df: DataFrame, group: list[str], coarse: Column, heavy_rows: int) -> DataFrame | None:
+    """Rows with their run, or nothing if no group is heavy."""
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
+    heavy = sizes.where(F.col("__n") > heavy_rows).select(*group).limit(MAX_NAMED + 1).collect()
+    if not heavy:
+        return None
+    if len(heavy) > MAX_NAMED:
+        marked = df.withColumn(_HEAVY, F.lit(True))
+    else:
+        named = df.sparkSession.createDataFrame(heavy, df.select(*group).schema)
+        named = named.select(*[F.col(g).alias(f"{_HEAVY}_{i}") for i, g in enumerate(group)], F.lit(True).alias(_HEAVY))
+        match = F.lit(True)
+        for i, g in enumerate(group):
+            match = match & df[g].eqNullSafe(named[f"{_HEAVY}_{i}"])
+        marked = df.join(F.broadcast(named), match, "left").drop(*[f"{_HEAVY}_{i}" for i in range(len(group))])
+    return marked.withColumn(_RUN, F.when(F.col(_HEAVY), coarse))
 
 
 def _with_side(rows: DataFrame, side: DataFrame) -> DataFrame:
@@ -34,29 +56,46 @@ def _with_side(rows: DataFrame, side: DataFrame) -> DataFrame:
 
 
 def row_number_in_runs(
-    df: DataFrame, group: Iterable[str], order: Iterable[str], coarse: Column | str, out: str
+    df: DataFrame,
+    group: Iterable[str],
+    order: Iterable[str],
+    coarse: Column,
+    out: str,
+    heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """``row_number`` of each row in its group, counted from 1."""
-    group = list(group)
-    rows = _runs(df, coarse)
+    group, order = list(group), list(order)
+    rows = _cut(df, group, coarse, heavy_rows)
+    if rows is None:
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("bigint"))
     keys = [*group, _RUN]
     before = Window.partitionBy(*group).orderBy(_RUN).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    starts = sizes.select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(_SIDE))
+    sizes = rows.where(_HEAVY).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    # the carried row is numbered too, hence one less
+    starts = sizes.select(*keys, (F.coalesce(F.sum("__n").over(before), F.lit(0)) - 1).alias(_SIDE))
     inside = Window.partitionBy(*keys).orderBy(_REAL, *order)
-    number = F.sum(_SIDE).over(inside.rowsBetween(Window.unboundedPreceding, 0)) + F.row_number().over(inside) - 1
+    start = F.coalesce(F.sum(_SIDE).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    number = start + F.row_number().over(inside)
     return _with_side(rows, starts).withColumn(out, number).where(_REAL).select(*df.columns, out)
 
 
 def previous_in_runs(
-    df: DataFrame, key: Iterable[str], order: Iterable[str], value: str, coarse: Column | str, out: str
+    df: DataFrame,
+    key: Iterable[str],
+    order: Iterable[str],
+    value: str,
+    coarse: Column,
+    out: str,
+    heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """The value of the row before, as ``struct<value>``; null on a key's first row."""
     key, order = list(key), list(order)
-    rows = _runs(df, coarse)
-    keys = [*key, _RUN]
     boxed = F.struct(F.col(value).alias("value"))
-    lasts = rows.groupBy(*keys).agg(F.max_by(boxed, F.struct(*order)).alias("__last"))
+    rows = _cut(df, key, coarse, heavy_rows)
+    if rows is None:
+        return df.withColumn(out, F.lag(boxed).over(Window.partitionBy(*key).orderBy(*order)))
+    keys = [*key, _RUN]
+    lasts = rows.where(_HEAVY).groupBy(*keys).agg(F.max_by(boxed, F.struct(*order)).alias("__last"))
     along = Window.partitionBy(*key).orderBy(_RUN)
     carried = lasts.select(*keys, F.lag("__last").over(along).alias(_SIDE)).where(F.col(_SIDE).isNotNull())
     inside = Window.partitionBy(*keys).orderBy(_REAL, *order)
