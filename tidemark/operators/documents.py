@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.documents import canonical_json, drift_items, json_includes, map_like
 
+# Error texts.
+NO_SPEC = "no valid ingestion spec provided"
+BAD_NATIVE = "error unmarshalling nativeSpec"
+BAD_SPEC = "error unmarshalling Spec"
+NO_DATASOURCE = "dataSource not found in spec"
+BAD_COMPACTION = "error unmarshalling compaction"
+COMPACTION_NO_DATASOURCE = "error getting dataSource"
+NO_TASK_ID = "task id not found"
+BAD_RULE = "error unmarshalling rule"
+
 
 def _list(cols: str | Iterable[str]) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
@@ -43,9 +53,9 @@ def resolve_spec(df: DataFrame, native: str = "native", text: str = "text") -> D
     chosen = F.coalesce(first, second)
     return df.withColumn("spec", F.when(map_like(chosen), canonical_json(chosen))).withColumn(
         "error",
-        F.when(chosen.isNull(), F.lit("no valid ingestion spec provided"))
-        .when(~map_like(chosen) & first.isNotNull(), F.lit("error unmarshalling nativeSpec"))
-        .when(~map_like(chosen), F.lit("error unmarshalling Spec")),
+        F.when(chosen.isNull(), F.lit(NO_SPEC))
+        .when(~map_like(chosen) & first.isNotNull(), F.lit(BAD_NATIVE))
+        .when(~map_like(chosen), F.lit(BAD_SPEC)),
     )
 
 
@@ -58,7 +68,7 @@ def datasource_of(spec: Column) -> Column:
 def extract_datasource(df: DataFrame, spec: str = "spec") -> DataFrame:
     name = datasource_of(F.col(spec))
     return df.withColumn("dataSource", name).withColumn(
-        "error", F.when(name.isNull(), F.lit("dataSource not found in spec"))
+        "error", F.when(name.isNull(), F.lit(NO_DATASOURCE))
     )
 
 
@@ -80,8 +90,8 @@ def enrich_compaction(df: DataFrame, compaction: str = "compaction", spec: str =
     ).withColumn(
         "error",
         F.when(doc.isNull(), F.lit(None).cast("string"))
-        .when(~map_like(doc), F.lit("error unmarshalling compaction"))
-        .when(name.isNull(), F.lit("error getting dataSource")),
+        .when(~map_like(doc), F.lit(BAD_COMPACTION))
+        .when(name.isNull(), F.lit(COMPACTION_NO_DATASOURCE)),
     )
 
 
@@ -101,7 +111,7 @@ def extract_task_id(df: DataFrame, response: str = "response") -> DataFrame:
     found = F.when(readable, F.coalesce(text_at("$.task"), text_at("$.id")))
     return df.withColumn("task_id", found).withColumn(
         "error",
-        F.when(~readable, F.lit("error parsing response")).when(found.isNull(), F.lit("task id not found")),
+        F.when(~readable, F.lit("error parsing response")).when(found.isNull(), F.lit(NO_TASK_ID)),
     )
 
 
@@ -115,7 +125,7 @@ def rules_to_rows(df: DataFrame, key: str | Iterable[str], rules: str = "rules")
         "position",
         F.try_variant_get("__rule", "$.type", "string").alias("type"),
         F.to_json("__rule").alias("rule"),
-        F.when(~_kind_at(F.col("__rule")).isin("OBJECT", "VOID"), F.lit("error unmarshalling rule")).alias("error"),
+        F.when(~_kind_at(F.col("__rule")).isin("OBJECT", "VOID"), F.lit(BAD_RULE)).alias("error"),
     )
 
 

@@ -47,9 +47,14 @@ def _windows(df: DataFrame, defs: DataFrame, type_: str, grain: str, aggs: Itera
     ).agg(*aggs)
 
 
+def _exact(value: Column, scale: int | None) -> Column:
+    """With a scale, sums are of decimals and do not depend on their order."""
+    return value if scale is None else value.cast(f"decimal(18,{scale})")
+
+
 def rollup_counts(df: DataFrame, defs: DataFrame, grain: str = "hour", scale: int | None = None) -> DataFrame:
-    value = F.col("value") if scale is None else F.col("value").cast(f"decimal(18,{scale})")
-    return _windows(df, defs, "count", grain, [F.sum(value).cast("double").alias("value")])
+    value = F.sum(_exact(F.col("value"), scale)).cast("double")
+    return _windows(df, defs, "count", grain, [value.alias("value")])
 
 
 def rollup_gauges(df: DataFrame, defs: DataFrame, grain: str = "hour") -> DataFrame:
@@ -58,38 +63,35 @@ def rollup_gauges(df: DataFrame, defs: DataFrame, grain: str = "hour") -> DataFr
     return _windows(df, defs, "gauge", grain, [last.alias("value")])
 
 
+def _timer_columns(value: Column, scale: int | None) -> list[Column]:
+    return [
+        (F.sum(_exact(value, scale)).cast("double") / F.count(value)).alias("mean"),
+        F.min(value).alias("min"),
+        F.max(value).alias("max"),
+        *[F.percentile_approx(value, p, 10_000).alias(f"p{int(p * 100)}") for p in TIMER_SHARES],
+    ]
+
+
 def rollup_timers(df: DataFrame, defs: DataFrame, grain: str = "hour", scale: int | None = None) -> DataFrame:
     """Count, mean, bounds and percentiles; percentiles are observed values."""
-    value = F.col("value") if scale is None else F.col("value").cast(f"decimal(18,{scale})")
-    count = F.count("value")
-    aggs = [
-        count.alias("count"),
-        (F.sum(value).cast("double") / count).alias("mean"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        *[F.percentile_approx("value", p, 10_000).alias(f"p{int(p * 100)}") for p in TIMER_SHARES],
-    ]
-    return _windows(df, defs, "timer", grain, aggs)
+    value = F.col("value")
+    return _windows(df, defs, "timer", grain, [F.count(value).alias("count"), *_timer_columns(value, scale)])
 
 
-def rollup_metrics(df: DataFrame, defs: DataFrame, grain: str = "hour") -> DataFrame:
+def rollup_metrics(df: DataFrame, defs: DataFrame, grain: str = "hour", scale: int | None = None) -> DataFrame:
     """All types at once: one pass, with the columns that fit the metric's type."""
     rows = conform_metrics(df, defs)
-    is_type = lambda name: F.col("type") == name
-    timed = F.when(is_type("timer"), F.col("value"))
-    aggs = [
-        F.when(is_type("count"), F.sum("value"))
-        .when(is_type("gauge"), F.max(F.struct("ts", "value"))["value"])
-        .alias("value"),
-        F.when(is_type("timer"), F.count("value")).alias("count"),
-        F.avg(timed).alias("mean"),
-        F.min(timed).alias("min"),
-        F.max(timed).alias("max"),
-        *[F.percentile_approx(timed, p, 10_000).alias(f"p{int(p * 100)}") for p in TIMER_SHARES],
-    ]
+    counts, gauges, timers = (F.col("type") == t for t in ("count", "gauge", "timer"))
+    timed = F.when(timers, F.col("value"))
     return rows.groupBy(
         truncated(F.col("ts"), grain).alias("window_start"),
         "metric",
         "type",
         sorted_map_json(F.col("dims")).alias("dims"),
-    ).agg(*aggs)
+    ).agg(
+        F.when(counts, F.sum(_exact(F.col("value"), scale)).cast("double"))
+        .when(gauges, F.max(F.struct("ts", "value"))["value"])
+        .alias("value"),
+        F.when(timers, F.count("value")).alias("count"),
+        *_timer_columns(timed, scale),
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.maps import sorted_map_json
@@ -19,7 +19,7 @@ from tidemark.operators.shape import (
     select_dimensions,
     truncate_time,
 )
-from tidemark.sources.files import read_json, read_lines
+from tidemark.sources.files import BAD_RECORD, read_json, read_lines
 from tidemark.sources.tables import write_datasource
 from tidemark.spec import TIME, Dimension, IngestSpec
 
@@ -97,24 +97,25 @@ def expand_dimensions(df: DataFrame, names: list[str]) -> DataFrame:
 
 def audit_lines(lines: DataFrame, spec: IngestSpec, column: str = "value") -> DataFrame:
     """The audit counts of a declaration over raw lines, per datasource."""
-    rows = lines.select(
-        F.lit(spec.data_source).alias("dataSource"),
-        F.col(column).alias("__line"),
-        F.from_json(F.col(column), "map<string,string>").alias("__doc"),
-    )
-    timed = rows.withColumn(TIME, parse_time(F.try_element_at("__doc", F.lit(spec.time_column)), spec.time_format))
-    output: Column | None = None
-    if spec.rolls_up:
-        wanted = spec.dimension_names
-        dims = (
-            F.map_filter("__doc", lambda k, _: k.isin(wanted))
-            if wanted
-            else F.map_filter("__doc", lambda k, _: ~k.isin(list(spec.exclusions)))
-        )
-        output = F.struct(truncated(F.col(TIME), spec.query_granularity), sorted_map_json(dims))
+    if spec.dimensions:
+        # only the declared fields are parsed; a broken line shows in the extra one
+        ddl = ", ".join(f"`{f}` string" for f in [*_text_fields(spec), BAD_RECORD])
+        doc = F.from_json(F.col(column), ddl, {"columnNameOfCorruptRecord": BAD_RECORD})
+        ok = F.col("__doc").isNotNull() & F.col(f"__doc.{BAD_RECORD}").isNull()
+        raw_time = F.col(f"__doc.`{spec.time_column}`")
+        dims = [F.col(f"__doc.`{d}`") for d in spec.dimension_names]
+    else:
+        doc = F.from_json(F.col(column), "map<string,string>")
+        ok = F.col("__doc").isNotNull()
+        raw_time = F.try_element_at("__doc", F.lit(spec.time_column))
+        left_out = list(spec.exclusions)
+        dims = [sorted_map_json(F.map_filter("__doc", lambda k, _: ~k.isin(left_out)))]
+    rows = lines.select(F.lit(spec.data_source).alias("dataSource"), F.col(column).alias("__line"), doc.alias("__doc"))
+    timed = rows.withColumn(TIME, parse_time(raw_time, spec.time_format))
+    output = F.struct(truncated(F.col(TIME), spec.query_granularity), *dims) if spec.rolls_up else None
     # lines are told apart by their hash, so that whole lines need not be shuffled
     line = F.unhex(F.sha1("__line"))
-    return ingest_audit(timed, F.col("__doc").isNotNull(), spec.intervals, line, output, by=["dataSource"])
+    return ingest_audit(timed, ok, spec.intervals, line, output, by=["dataSource"])
 
 
 def ingest(spark: SparkSession, spec: IngestSpec, root: str, base_dir: str, glob: str = "*.json*") -> str:

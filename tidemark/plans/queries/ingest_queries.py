@@ -284,6 +284,26 @@ def metric_timer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.rollup_timers(measurements(spark, sf_dir), M.metric_definitions(spark, METRIC_DOC), "hour", scale=2)
 
 
+@query(
+    "metric_all",
+    """WITH m AS (SELECT date_trunc('hour', ts) AS window_start, event_type AS metric, ts, value,
+                         CASE event_type WHEN 'purchase' THEN 'gauge' WHEN 'error' THEN 'timer' ELSE 'count' END AS type,
+                         CASE WHEN event_type IN ('click', 'purchase') THEN '{"user":"' || user_id || '"}' ELSE '{}' END AS dims,
+                         CASE WHEN event_type = 'error' THEN value END AS timed
+                  FROM events WHERE event_type <> 'signup')
+       SELECT window_start, metric, type, dims,
+              CASE type WHEN 'count' THEN CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE)
+                        WHEN 'gauge' THEN arg_max(value * 100, (ts, value)) END AS value,
+              CASE type WHEN 'timer' THEN count(value) END AS count,
+              CAST(sum(CAST(timed AS DECIMAL(18,2))) AS DOUBLE) / nullif(count(timed), 0) AS mean,
+              min(timed) AS min, max(timed) AS max, quantile_disc(timed, 0.5) AS p50,
+              quantile_disc(timed, 0.95) AS p95, quantile_disc(timed, 0.99) AS p99
+       FROM m GROUP BY window_start, metric, type, dims""",
+)
+def metric_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.rollup_metrics(measurements(spark, sf_dir), M.metric_definitions(spark, METRIC_DOC), "hour", scale=2)
+
+
 @query(
     "parsed_time_kinds",
     """SELECT parsed, count(*) AS rows FROM (
