@@ -15,6 +15,8 @@ from tidemark.operators.retention import (
     broadcast_lookup,
 )
 from tidemark.operators.shape import assign_chunk
+from tidemark.plans.maintain import compact_datasource, retain_datasource
+from tidemark.sources.tables import read_datasource, write_datasource
 from tidemark.spec import CHUNK, SEGMENT, TIME, Metric, Rule
 
 
@@ -161,3 +163,19 @@ def test_lookup_joins_the_same_with_and_without_broadcast(spark, max_rows):
     assert joined.count() == sum(1 for i in range(100) if i % 7 < 5)
     hinted = "rightHint=(strategy=broadcast" in joined._jdf.queryExecution().optimizedPlan().toString()
     assert hinted == (max_rows == 1000)
+
+
+def test_maintenance_never_overwrites_its_input(spark, folder):
+    write_datasource(hours(spark, 30), folder, "x")
+    for bad in (
+        lambda: compact_datasource(spark, folder, "x", "x", "DAY"),
+        lambda: retain_datasource(spark, folder, "x", "x", [], "2024-02-01", "HOUR"),
+    ):
+        with pytest.raises(ValueError):
+            bad()
+    # a second run replaces what the first one wrote
+    for _ in range(2):
+        compact_datasource(spark, folder, "x", "y", "DAY", [], [Metric("n", "count")], "DAY")
+    assert sorted(r["n"] for r in read_datasource(spark, folder, "y").collect()) == [6, 24]
+    retain_datasource(spark, folder, "y", "z", [Rule("drop", interval="2024-01-01/2024-01-02")], "2024-02-01", "DAY")
+    assert [r["n"] for r in read_datasource(spark, folder, "z").collect()] == [6]

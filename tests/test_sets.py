@@ -143,6 +143,11 @@ def test_quantity(spark):
         "1E": 10**18,
         "5": 5,
         "1.5Ki": 1536,
+        "5n": Decimal("0.000000005"),
+        "8Ei": 8 * 1024**6,
+        "-1.25Mi": Decimal("-1.25") * 1024**2,
+        "7E": 7 * 10**18,
+        "2e-3": Decimal("0.002"),
         "": None,
         "Gi": None,
         "x": None,

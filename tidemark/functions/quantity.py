@@ -2,42 +2,24 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Quantity suffixes and their factors.
-FACTORS = {
-    "n": "0.000000001",
-    "u": "0.000001",
-    "m": "0.001",
-    "": "1",
-    "k": "1000",
-    "M": "1000000",
-    "G": "1000000000",
-    "T": "1000000000000",
-    "P": "1000000000000000",
-    "E": "1000000000000000000",
-    "Ki": "1024",
-    "Mi": "1048576",
-    "Gi": "1073741824",
-    "Ti": "1099511627776",
-    "Pi": "1125899906842624",
-    "Ei": "1152921504606846976",
-}
+# Decimal suffixes and their powers of ten, binary suffixes and their powers of two.
+POWERS_OF_TEN = {"n": -9, "u": -6, "m": -3, "": 0, "k": 3, "M": 6, "G": 9, "T": 12, "P": 15, "E": 18}
+POWERS_OF_TWO = {"Ki": 10, "Mi": 20, "Gi": 30, "Ti": 40, "Pi": 50, "Ei": 60}
 _SHAPE = r"^([+-]?\d+(?:\.\d*)?|[+-]?\.\d+)(?:[eE]([+-]?\d+)|([numkMGTPE]|[KMGTPE]i)?)$"
 
 
 def quantity(text: Column) -> Column:
     """Quantity text as ``decimal(38,9)``; null if it is none."""
-    number = F.regexp_extract(text, _SHAPE, 1).try_cast("decimal(28,9)")
-    power = F.regexp_extract(text, _SHAPE, 2)
-    unit = F.regexp_extract(text, _SHAPE, 3)
-    factors = F.create_map(
-        *[F.lit(x) for k, v in FACTORS.items() for x in (k, Decimal(v).quantize(Decimal("1e-9")))]
+    number, power, unit = (F.regexp_extract(text, _SHAPE, i) for i in (1, 2, 3))
+    tens = F.create_map(*[F.lit(str(x)) for pair in POWERS_OF_TEN.items() for x in pair])
+    twos = F.create_map(*[F.lit(x) for k, v in POWERS_OF_TWO.items() for x in (k, 2**v)])
+    # a power of ten is exact as text, a power of two as a whole number
+    exponent = F.when(power != "", power).otherwise(F.try_element_at(tens, unit))
+    scaled = F.coalesce(
+        F.concat(number, F.lit("e"), exponent).try_cast("decimal(38,9)"),
+        (number.try_cast("decimal(18,9)") * F.try_element_at(twos, unit).cast("decimal(19,0)")).cast("decimal(38,9)"),
     )
-    scaled = F.when(
-        power != "", F.concat(F.regexp_extract(text, _SHAPE, 1), F.lit("e"), power).try_cast("decimal(38,9)")
-    ).otherwise((number * F.element_at(factors, unit)).cast("decimal(38,9)"))
     return F.when(text.rlike(_SHAPE), scaled)

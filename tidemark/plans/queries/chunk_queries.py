@@ -15,8 +15,10 @@ from tidemark.operators.retention import (
 )
 from tidemark.operators.rollup import rollup
 from tidemark.operators.shape import assign_chunk
+from tidemark.plans.maintain import compact_datasource, retain_datasource
 from tidemark.plans.queries.base import SQL_METRICS, VALUE_METRICS, events, query, table
 from tidemark.session import shared_folder
+from tidemark.sources.tables import read_datasource, write_datasource
 from tidemark.spec import CHUNK, TIME, Rule
 
 AS_OF = "2024-01-31"
@@ -104,6 +106,21 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_summary(assign_chunk(events(spark, sf_dir), "DAY"), max_rows=100)
 
 
+@query(
+    "maintained_table",
+    f"""SELECT date_trunc('hour', ts) AS __time, date_trunc('month', ts) AS __chunk, event_type, {SQL_METRICS}
+        FROM events WHERE date_trunc('day', ts) < TIMESTAMP '2024-01-24' GROUP BY ALL""",
+)
+def maintained_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Day chunks are written, dropped by a rule, and compacted to month chunks, table by table."""
+    root = shared_folder(spark, "tables")
+    rows = rollup(events(spark, sf_dir), ["event_type"], VALUE_METRICS, "HOUR")
+    write_datasource(assign_chunk(rows, "DAY"), root, "days")
+    retain_datasource(spark, root, "days", "kept", [Rule("dropByPeriod", period="P7D")], AS_OF, "DAY")
+    compact_datasource(spark, root, "kept", "months", "MONTH", ["event_type"], VALUE_METRICS)
+    return read_datasource(spark, root, "months")
+
+
 _DAY_CHUNKS = "SELECT date_trunc('day', ts) AS __chunk, count(*) AS rows FROM events GROUP BY ALL"
 _ACTION = """CASE WHEN __chunk >= TIMESTAMP '2024-01-03' AND __chunk + INTERVAL 1 DAY <= TIMESTAMP '2024-01-05' THEN 0
                   WHEN __chunk + INTERVAL 1 DAY > TIMESTAMP '2024-01-29' THEN 1
