@@ -1,5 +1,6 @@
 import pytest
 
+from tidemark.session import shared_folder, shuffle_partitions
 from tidemark.spec import IngestSpec, Rule, normal_grain, parse_interval, parse_period
 
 
@@ -90,3 +91,14 @@ def test_rule_document():
     rule = Rule.parse({"type": "dropByPeriod", "period": "P1M", "includeFuture": True})
     assert (rule.period, rule.include_future, rule.tiers) == ("P1M", True, {"_default_tier": 2})
     assert Rule.parse({"type": "load", "tieredReplicants": {"hot": 2}}).tiers == {"hot": 2}
+
+
+def test_shuffle_partitions():
+    assert shuffle_partitions(1) == 200
+    assert shuffle_partitions(10 * 1024**4) == 40960
+    assert shuffle_partitions(10**18) == 100_000
+
+
+def test_shared_folder_is_the_one_the_session_names(spark):
+    assert shared_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+    assert shared_folder(spark, "x") != shared_folder(spark, "x")

@@ -8,12 +8,25 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def build_session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
+# A shuffle partition of about this size fits an executor's task with room to sort.
+PARTITION_BYTES = 256 * 1024 * 1024
+MAX_SHUFFLE_PARTITIONS = 100_000
+
+
+def shuffle_partitions(shuffle_bytes: int) -> int:
+    """Partitions for the largest shuffle that is expected."""
+    return max(200, min(MAX_SHUFFLE_PARTITIONS, -(-shuffle_bytes // PARTITION_BYTES)))
+
+
+def build_session(
+    app: str = "tidemark", master: str | None = None, shuffle_bytes: int | None = None, **conf: str
+) -> SparkSession:
     """A session with the settings the operators count on.
 
-    Only UTC is required for right results. AQE coalesces small shuffle
-    partitions, splits skewed joins and skewed rebalanced writes, so the
-    shuffle partition count is an upper bound that a cluster should set high.
+    Only UTC is required for right results. AQE merges small shuffle
+    partitions and splits skewed joins and writes, but makes no more partitions
+    than it starts with: ``shuffle_bytes`` sets that number for a large run.
+    Stream state is kept in RocksDB, so that it need not fit in memory.
     """
     builder = SparkSession.builder.appName(app)
     if master:
@@ -23,9 +36,14 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+        "spark.sql.streaming.stateStore.providerClass": (
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+        ),
         "spark.ui.showConsoleProgress": "false",
         **conf,
     }
+    if shuffle_bytes:
+        settings["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(shuffle_partitions(shuffle_bytes))
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
