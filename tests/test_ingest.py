@@ -26,7 +26,7 @@ def times(spark, texts, fmt):
 
 
 def test_iso_time(spark):
-    texts = ["2015-09-12T00:46:58.771Z", "2015-09-12", "2015-09-12 01:02:03", " 2015-09-12T02:00:00+02:00 ", None, "", "x", "12:00:00", "1442018818771"]
+    texts = ["2015-09-12T00:46:58.771Z", "2015-09-12", "2015-09-12 01:02:03", " 2015-09-12T02:00:00+02:00 ", None, "", "x", "12:00:00", "1442018818771", "2015", "12:3", "1-2-3"]
     assert times(spark, texts, "iso") == [
         at("2015-09-12T00:46:58.771"),
         at("2015-09-12"),
@@ -37,6 +37,9 @@ def test_iso_time(spark):
         None,
         None,
         None,
+        at("2015-01-01"),
+        None,
+        None,
     ]
 
 

@@ -20,7 +20,8 @@ def parse_time(col: Column, fmt: str = "iso") -> Column:
     """
     text = F.trim(col.cast("string"))
     # a cast alone would read a bare time of day as one of the current date
-    iso = F.when(text.rlike(r"^\d{4}(-|$)"), text.try_cast("timestamp"))
+    dated = (F.substring(text, 5, 1) == "-") | text.rlike(r"^\d{4}$")
+    iso = F.when(dated, text.try_cast("timestamp"))
     if fmt == "iso":
         return iso
     if fmt == "auto":

@@ -79,7 +79,8 @@ def enrich_compaction(df: DataFrame, compaction: str = "compaction", spec: str =
     """
     doc = F.nullif(F.col(compaction), F.lit(""))
     name = datasource_of(F.col(spec))
-    members = F.coalesce(F.from_json(canonical_json(doc), "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    none = F.create_map().cast("map<string,variant>")
+    members = F.coalesce(F.from_json(canonical_json(doc), "map<string,variant>"), none)
     put = F.map_concat(
         F.map_filter(members, lambda k, _: k != "dataSource"),
         F.create_map(F.lit("dataSource"), name.cast("variant")),

@@ -43,7 +43,9 @@ def rule_matches(rule: Rule, start: Column, end: Column, as_of: str) -> Column:
     return overlap if rule.include_future else overlap & (start < now)
 
 
-def _chain(rules: Sequence[Rule], grain: str, as_of: str, value: Callable[[int, Rule], Column], other: Column) -> Column:
+def _chain(
+    rules: Sequence[Rule], grain: str, as_of: str, value: Callable[[int, Rule], Column], other: Column
+) -> Column:
     start = F.col(CHUNK)
     end = start + grain_length(grain)
     # built from the last rule outwards, so that the first match decides

@@ -30,7 +30,9 @@ def health_rollup(
     group = [group] if isinstance(group, str) else list(group)
     failing = F.filter(conditions, lambda c: (c["type"] == ready_type) & (c["status"] == "False"))
     last = F.try_element_at(failing, F.lit(-1))
-    found = F.when(last.isNotNull(), F.struct(F.col(position).alias("at"), F.col(name).alias("name"), last["reason"].alias("reason")))
+    found = F.when(
+        last.isNotNull(), F.struct(F.col(position).alias("at"), F.col(name).alias("name"), last["reason"].alias("reason"))
+    )
     worst = df.groupBy(*group).agg(F.max(found).alias("w"))
     return worst.select(
         *group,

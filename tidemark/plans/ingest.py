@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.maps import sorted_map_json
-from tidemark.functions.times import in_intervals, parse_time, truncated
+from tidemark.functions.times import parse_time, truncated
 from tidemark.operators.rollup import ingest_audit, rollup
 from tidemark.operators.shape import (
     assign_chunk,
@@ -34,6 +34,11 @@ def _finish(rows: DataFrame, spec: IngestSpec, dims: list[str]) -> DataFrame:
     return assign_chunk(rows, spec.segment_granularity)
 
 
+def _kept(timed: DataFrame, spec: IngestSpec) -> DataFrame:
+    """Rows with a readable time inside the intervals; an interval holds no null, so one test does."""
+    return filter_intervals(timed, spec.intervals) if spec.intervals else timed.where(F.col(TIME).isNotNull())
+
+
 def metric_fields(spec: IngestSpec) -> list[str]:
     return sorted({m.field for m in spec.metrics if m.field})
 
@@ -44,7 +49,7 @@ def build(df: DataFrame, spec: IngestSpec) -> DataFrame:
     Rows without a readable time and rows outside the intervals are left out.
     """
     timed = df.withColumn(TIME, parse_time(F.col(f"`{spec.time_column}`"), spec.time_format))
-    kept = filter_intervals(timed.where(F.col(TIME).isNotNull()), spec.intervals)
+    kept = _kept(timed, spec)
     inputs = metric_fields(spec)
     # a field may be a dimension and the input of a metric: keep its raw text apart
     raw = kept.select("*", *[F.col(f"`{f}`").alias(f"__in_{i}") for i, f in enumerate(inputs)])
@@ -84,8 +89,7 @@ def build_stream_rows(lines: DataFrame, spec: IngestSpec, column: str = "value")
         found = F.map_filter(F.from_json(F.col(column), "map<string,string>"), lambda k, _: k.isin(listed))
     opened = lines.select(F.from_json(F.col(column), ddl).alias("d"), sorted_map_json(found).alias(DIMS))
     timed = opened.select(parse_time(F.col(f"d.`{spec.time_column}`"), spec.time_format).alias(TIME), DIMS, "d.*")
-    kept = timed.where(F.col(TIME).isNotNull()).where(in_intervals(F.col(TIME), spec.intervals))
-    return kept.select(TIME, DIMS, *[F.col(f"`{f}`").alias(f) for f in inputs])
+    return _kept(timed, spec).select(TIME, DIMS, *[F.col(f"`{f}`").alias(f) for f in inputs])
 
 
 def expand_dimensions(df: DataFrame, names: list[str]) -> DataFrame:

@@ -41,12 +41,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def plain_times(df: DataFrame) -> DataFrame:
     """Timestamps without zone, as the tables have them."""
-    return df.select(
-        *[
-            F.col(f"`{f.name}`").cast("timestamp_ntz").alias(f.name) if isinstance(f.dataType, T.TimestampType) else F.col(f"`{f.name}`")
-            for f in df.schema.fields
-        ]
-    )
+    zoned = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampType)]
+    return df.withColumns({name: F.col(name).cast("timestamp_ntz") for name in zoned}) if zoned else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
