@@ -68,7 +68,7 @@ def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
     """
     spot = F.col(hashes.columns[0]).bitwiseAND(bits - 1)
     blocks = (
-        hashes.select(F.shiftright(spot, 15).alias("block"), F.bitmap_bit_position(spot).alias("bit"))
+        hashes.select(F.shiftright(spot, 15).alias("block"), spot.bitwiseAND((1 << 15) - 1).alias("bit"))
         .groupBy("block")
         .agg(F.bitmap_construct_agg("bit").alias("set"))
     )

@@ -1,6 +1,6 @@
 """The queries of this subpackage; importing the operators registers them."""
 
-from tidemark.llm import chat_format, mixing, pii, quality_rules
+from tidemark.llm import chat_format, decontaminate, mixing, pii, quality_rules, warc
 from tidemark.llm.common import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "chat_format", "mixing", "pii", "quality_rules"]
+__all__ = ["ORACLES", "QUERIES", "chat_format", "decontaminate", "mixing", "pii", "quality_rules", "warc"]
