@@ -1,6 +1,30 @@
 """The queries of this subpackage; importing the operators registers them."""
 
-from tidemark.llm import chat_format, decontaminate, mixing, pii, quality_rules, warc
+from tidemark.llm import (
+    chat_format,
+    decontaminate,
+    line_dedup,
+    lm_scoring,
+    mixing,
+    pii,
+    quality_rules,
+    simhash_trie,
+    substring_dedup,
+    warc,
+)
 from tidemark.llm.common import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "chat_format", "decontaminate", "mixing", "pii", "quality_rules", "warc"]
+__all__ = [
+    "ORACLES",
+    "QUERIES",
+    "chat_format",
+    "decontaminate",
+    "line_dedup",
+    "lm_scoring",
+    "mixing",
+    "pii",
+    "quality_rules",
+    "simhash_trie",
+    "substring_dedup",
+    "warc",
+]
