@@ -82,8 +82,8 @@ def seeded_runs(docs: DataFrame, marks: np.ndarray, length: int) -> DataFrame:
     """Runs whose anchor is in the bitmap, with what extends them both ways.
 
     ``anchor, reach`` (words before the anchor), ``extent`` (hash of all words of
-    the run's windows), ``n`` windows, their hashes, and the place: ``doc_id, row``
-    (hash of the text), ``start``.
+    the run's windows), ``n`` windows, and the place: ``doc_id, row`` (hash of
+    the text), ``start``.
     """
     sent = docs.sparkSession.sparkContext.broadcast(marks)
 
@@ -96,29 +96,55 @@ def seeded_runs(docs: DataFrame, marks: np.ndarray, length: int) -> DataFrame:
                 if not hit.any():
                     continue
                 anchors, place, first, last = anchors[hit], place[hit], first[hit], last[hit]
-                ranges = Ranges(words)
-                n = last - first + 1
-                offsets = np.r_[0, np.cumsum(n)]
-                each = np.repeat(first, n) + np.arange(offsets[-1]) - np.repeat(offsets[:-1], n)
                 text = np.searchsorted(ends, first, "right") - 1
                 take = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(signed(anchors)),
                         pa.array((place - first).astype(np.int32)),
-                        pa.array(signed(ranges.of(first, last + length))),
-                        pa.array(n.astype(np.int32)),
-                        pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(signed(ranges.of(each, each + length)))),
+                        pa.array(signed(Ranges(words).of(first, last + length))),
+                        pa.array((last - first + 1).astype(np.int32)),
                         part.column("doc_id").take(take),
                         part.column("row").take(take),
-                        pa.array((first - ends[text]).astype(np.int64)),
+                        pa.array(first - ends[text]),
                     ],
-                    ["anchor", "reach", "extent", "n", "windows", "doc_id", "row", "start"],
+                    ["anchor", "reach", "extent", "n", "doc_id", "row", "start"],
                 )
 
-    return docs.mapInArrow(
-        scan, "anchor long, reach int, extent long, n int, windows array<long>, doc_id long, row long, start long"
-    )
+    return docs.mapInArrow(scan, "anchor long, reach int, extent long, n int, doc_id long, row long, start long")
+
+
+def windows_of(docs: DataFrame, marks: np.ndarray, length: int) -> DataFrame:
+    """Each window of the runs whose ``row ^ anchor`` is in the bitmap: ``anchor, reach, window`` (its hash) and the place."""
+    sent = docs.sparkSession.sparkContext.broadcast(marks)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            for part, words, ends in read_words(batch, known):
+                anchors, place, first, last = anchored(words, ends, length)
+                text = np.searchsorted(ends, first, "right") - 1
+                row = part.column("row").to_numpy().view(np.uint64)[text]
+                hit = in_bitmap(sent.value, anchors ^ row)
+                if not hit.any():
+                    continue
+                n = (last - first + 1)[hit]
+                each = np.repeat(first[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                text = np.repeat(text[hit], n)
+                take = pa.array(text)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(signed(np.repeat(anchors[hit], n))),
+                        pa.array((np.repeat(place[hit], n) - each).astype(np.int32)),
+                        pa.array(signed(Ranges(words).of(each, each + length))),
+                        part.column("doc_id").take(take),
+                        part.column("row").take(take),
+                        pa.array(each - ends[text]),
+                    ],
+                    ["anchor", "reach", "window", "doc_id", "row", "start"],
+                )
+
+    return docs.mapInArrow(scan, "anchor long, reach int, window long, doc_id long, row long, start long")
 
 
 def not_first(first: str = "first") -> Column:
@@ -135,19 +161,17 @@ def repeats(docs: DataFrame, length: int = MIN_WORDS, mark_bits: int = MARK_BITS
     of one doc_id apart. Runs of one anchor that agree in their whole extent are
     a class; all but its first member repeat it whole, so one partial aggregate
     and a join on the class settle them, without pairs among copies. The first
-    members of classes that share an anchor may agree in part; they are compared
-    window by window, again by the earliest of equal ones.
+    members of classes that share an anchor may agree in part; their windows are
+    read from the texts and compared, again by the earliest of equal ones.
 
-    The bitmap of repeated anchors has a fixed size. More anchors than it can
-    tell apart let more runs through to the exact steps; results are the same.
+    The two bitmaps, of repeated anchors and of those first members, have a fixed
+    size. More than they can tell apart let more runs through to the exact
+    steps; results are the same.
     """
     marks = bitmap(repeated_anchors(docs, length), mark_bits)
     runs = saved(seeded_runs(docs, marks, length), "runs")
     same, place = ["anchor", "extent", "reach", "n"], F.struct("doc_id", "start", "row")
-    classes = saved(
-        runs.groupBy(*same).agg(F.min(place).alias("first"), F.count("*").alias("size"), F.first("windows").alias("windows")),
-        "classes",
-    )
+    classes = saved(runs.groupBy(*same).agg(F.min(place).alias("first"), F.count("*").alias("size")), "classes")
     copies = (
         runs.select(*same, "doc_id", "row", "start")
         .join(classes.where("size > 1").select(*same, "first"), same)
@@ -155,12 +179,8 @@ def repeats(docs: DataFrame, length: int = MIN_WORDS, mark_bits: int = MARK_BITS
         .select("doc_id", "row", F.col("start").alias("begin"), (F.col("start") + F.col("n") + length - 1).alias("end"))
     )
     shared = classes.groupBy("anchor").count().where("count > 1").select("anchor")
-    leaders = saved(
-        classes.join(shared, "anchor", "left_semi")
-        .select("anchor", "reach", "first.*", F.posexplode("windows").alias("k", "window"))
-        .select("anchor", (F.col("reach") - F.col("k")).alias("reach"), "window", "doc_id", "row", (F.col("start") + F.col("k")).alias("start")),
-        "leaders",
-    )
+    leaders = classes.join(shared, "anchor", "left_semi").select(F.col("first.row").bitwiseXOR(F.col("anchor")).alias("mark"))
+    leaders = saved(windows_of(docs, bitmap(leaders, mark_bits), length), "leaders")
     key = ["anchor", "reach", "window"]
     earliest = leaders.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("size")).where("size > 1")
     partly = (
