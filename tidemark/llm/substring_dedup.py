@@ -37,26 +37,38 @@ class Ranges:
         return mixed((self.sums[end] - self.sums[start]) * self.back[start])
 
 
-def anchored(words: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows of ``length`` words with the same anchor: anchor hash, its place, first and last window.
+def first_windows(words: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, Ranges]:
+    """Starts of all windows of ``length`` words, and whether each is the first of its words in its text."""
+    starts = np.arange(max(0, len(words) - length + 1))
+    starts = starts[within(ends, starts, length)]
+    ranges = Ranges(words)
+    text = np.searchsorted(ends, starts, "right").astype(np.uint64)
+    first = np.zeros(len(starts), bool)
+    first[np.unique(mixed(ranges.of(starts, starts + length) ^ text * STEP), return_index=True)[1]] = True
+    return starts, first, ranges
+
+
+def anchored(words: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Ranges]:
+    """Runs of windows with the same anchor: anchor hash, its place, first and last window; and range hashes.
 
     A window's anchor is the smallest hash among its runs of half the length
     (the leftmost, if equal). It depends on the window's words only, so equal
-    windows have equal anchors at the same place in them.
+    windows have equal anchors at the same place in them. Windows that repeat an
+    earlier one of their own text are left out; each text settles them itself.
     """
     span = length // 2
     grams = windows(words, range(span))
-    starts = np.arange(max(0, len(words) - length + 1))
-    starts = starts[within(ends, starts, length)]
+    starts, fresh, ranges = first_windows(words, ends, length)
+    starts = starts[fresh]
     if not len(starts):
         none = np.zeros(0, np.int64)
-        return none.view(np.uint64), none, none, none
+        return none.view(np.uint64), none, none, none, ranges
     among = np.lib.stride_tricks.sliding_window_view(grams, length - span + 1)
     place = starts + among[starts].argmin(axis=1)
     new = np.r_[True, (np.diff(place) > 0) | (np.diff(starts) > 1)]
     first = np.flatnonzero(new)
     last = np.r_[first[1:], len(starts)] - 1
-    return grams[place[first]], place[first], starts[first], starts[last]
+    return grams[place[first]], place[first], starts[first], starts[last], ranges
 
 
 def read_words(batch: pa.RecordBatch, known: WordHashes) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -91,7 +103,7 @@ def seeded_runs(docs: DataFrame, marks: np.ndarray, length: int) -> DataFrame:
         known = WordHashes()
         for batch in batches:
             for part, words, ends in read_words(batch, known):
-                anchors, place, first, last = anchored(words, ends, length)
+                anchors, place, first, last, ranges = anchored(words, ends, length)
                 hit = in_bitmap(sent.value, anchors)
                 if not hit.any():
                     continue
@@ -102,7 +114,7 @@ def seeded_runs(docs: DataFrame, marks: np.ndarray, length: int) -> DataFrame:
                     [
                         pa.array(signed(anchors)),
                         pa.array((place - first).astype(np.int32)),
-                        pa.array(signed(Ranges(words).of(first, last + length))),
+                        pa.array(signed(ranges.of(first, last + length))),
                         pa.array((last - first + 1).astype(np.int32)),
                         part.column("doc_id").take(take),
                         part.column("row").take(take),
@@ -122,7 +134,7 @@ def windows_of(docs: DataFrame, marks: np.ndarray, length: int) -> DataFrame:
         known = WordHashes()
         for batch in batches:
             for part, words, ends in read_words(batch, known):
-                anchors, place, first, last = anchored(words, ends, length)
+                anchors, place, first, last, ranges = anchored(words, ends, length)
                 text = np.searchsorted(ends, first, "right") - 1
                 row = part.column("row").to_numpy().view(np.uint64)[text]
                 hit = in_bitmap(sent.value, anchors ^ row)
@@ -136,7 +148,7 @@ def windows_of(docs: DataFrame, marks: np.ndarray, length: int) -> DataFrame:
                     [
                         pa.array(signed(np.repeat(anchors[hit], n))),
                         pa.array((np.repeat(place[hit], n) - each).astype(np.int32)),
-                        pa.array(signed(Ranges(words).of(each, each + length))),
+                        pa.array(signed(ranges.of(each, each + length))),
                         part.column("doc_id").take(take),
                         part.column("row").take(take),
                         pa.array(each - ends[text]),
@@ -210,23 +222,27 @@ def without_repeats(docs: DataFrame, length: int = MIN_WORDS, mark_bits: int = M
     joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("row") == F.col("of_row")), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in batches:
             for part, texts in slices(batch):
-                begins, ends = part.column("begins").to_pylist(), part.column("ends").to_pylist()
-                sizes, removed, kept = [], [], []
-                for text, begin, end in zip(texts, begins, ends, strict=True):
-                    words = text.split()
-                    sizes.append(len(words))
+                split = [t.split() for t in texts]
+                words, ends = hashed(split, known)
+                starts, first, _ = first_windows(words, ends, length)
+                depth = np.zeros(len(words) + 1, np.int64)
+                np.add.at(depth, starts[~first], 1)
+                np.add.at(depth, starts[~first] + length, -1)
+                for at, begin, end in zip(ends.tolist(), part.column("begins").to_pylist(), part.column("ends").to_pylist(), strict=False):
                     if begin:
-                        depth = np.zeros(len(words) + 1, np.int64)
-                        np.add.at(depth, begin, 1)
-                        np.add.at(depth, end, -1)
-                        stays = np.flatnonzero(np.cumsum(depth[:-1]) == 0)
-                        words = [words[i] for i in stays.tolist()]
-                    removed.append(sizes[-1] - len(words))
-                    kept.append(b" ".join(words))
+                        np.add.at(depth, np.array(begin) + at, 1)
+                        np.add.at(depth, np.array(end) + at, -1)
+                stays = np.cumsum(depth[:-1]) == 0
+                kept, removed = [], []
+                for of, a, b in zip(split, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    left = np.flatnonzero(stays[a:b])
+                    removed.append(b - a - len(left))
+                    kept.append(b" ".join([of[i] for i in left.tolist()] if removed[-1] else of))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
+                    [part.column("doc_id"), pa.array(np.diff(ends)), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
                     ["doc_id", "n_words", "n_removed", "text"],
                 )
 
