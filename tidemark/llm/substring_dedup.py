@@ -93,9 +93,9 @@ def repeated_anchors(docs: DataFrame, length: int) -> DataFrame:
 def seeded_runs(docs: DataFrame, marks: np.ndarray, length: int) -> DataFrame:
     """Runs whose anchor is in the bitmap, with what extends them both ways.
 
-    ``anchor, reach`` (words before the anchor), ``extent`` (hash of all words of
-    the run's windows), ``n`` windows, and the place: ``doc_id, row`` (hash of
-    the text), ``start``.
+    ``anchor``, ``extent`` (hash of all words of the run's windows, which settles
+    where the anchor lies in them), ``n`` windows, and the place: ``doc_id,
+    row`` (hash of the text), ``start``.
     """
     sent = docs.sparkSession.sparkContext.broadcast(marks)
 
@@ -113,21 +113,20 @@ def seeded_runs(docs: DataFrame, marks: np.ndarray, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(signed(anchors)),
-                        pa.array((place - first).astype(np.int32)),
                         pa.array(signed(ranges.of(first, last + length))),
                         pa.array((last - first + 1).astype(np.int32)),
                         part.column("doc_id").take(take),
                         part.column("row").take(take),
-                        pa.array(first - ends[text]),
+                        pa.array((first - ends[text]).astype(np.int32)),
                     ],
-                    ["anchor", "reach", "extent", "n", "doc_id", "row", "start"],
+                    ["anchor", "extent", "n", "doc_id", "row", "start"],
                 )
 
-    return docs.mapInArrow(scan, "anchor long, reach int, extent long, n int, doc_id long, row long, start long")
+    return docs.mapInArrow(scan, "anchor long, extent long, n int, doc_id long, row int, start int")
 
 
 def windows_of(docs: DataFrame, marks: np.ndarray, length: int) -> DataFrame:
-    """Each window of the runs whose ``row ^ anchor`` is in the bitmap: ``anchor, reach, window`` (its hash) and the place."""
+    """Each window of the runs whose ``row ^ anchor`` is in the bitmap: ``anchor, window`` (its hash) and the place."""
     sent = docs.sparkSession.sparkContext.broadcast(marks)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +135,7 @@ def windows_of(docs: DataFrame, marks: np.ndarray, length: int) -> DataFrame:
             for part, words, ends in read_words(batch, known):
                 anchors, place, first, last, ranges = anchored(words, ends, length)
                 text = np.searchsorted(ends, first, "right") - 1
-                row = part.column("row").to_numpy().view(np.uint64)[text]
+                row = part.column("row").cast(pa.int64()).to_numpy().view(np.uint64)[text]
                 hit = in_bitmap(sent.value, anchors ^ row)
                 if not hit.any():
                     continue
@@ -147,16 +146,15 @@ def windows_of(docs: DataFrame, marks: np.ndarray, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(signed(np.repeat(anchors[hit], n))),
-                        pa.array((np.repeat(place[hit], n) - each).astype(np.int32)),
                         pa.array(signed(ranges.of(each, each + length))),
                         part.column("doc_id").take(take),
                         part.column("row").take(take),
-                        pa.array(each - ends[text]),
+                        pa.array((each - ends[text]).astype(np.int32)),
                     ],
-                    ["anchor", "reach", "window", "doc_id", "row", "start"],
+                    ["anchor", "window", "doc_id", "row", "start"],
                 )
 
-    return docs.mapInArrow(scan, "anchor long, reach int, window long, doc_id long, row long, start long")
+    return docs.mapInArrow(scan, "anchor long, window long, doc_id long, row int, start int")
 
 
 def not_first(first: str = "first") -> Column:
@@ -182,18 +180,18 @@ def repeats(docs: DataFrame, length: int = MIN_WORDS, mark_bits: int = MARK_BITS
     """
     marks = bitmap(repeated_anchors(docs, length), mark_bits)
     runs = saved(seeded_runs(docs, marks, length), "runs")
-    same, place = ["anchor", "extent", "reach", "n"], F.struct("doc_id", "start", "row")
+    same, place = ["anchor", "extent"], F.struct("doc_id", "start", "row")
     classes = saved(runs.groupBy(*same).agg(F.min(place).alias("first"), F.count("*").alias("size")), "classes")
     copies = (
-        runs.select(*same, "doc_id", "row", "start")
+        runs.select(*same, "n", "doc_id", "row", "start")
         .join(classes.where("size > 1").select(*same, "first"), same)
         .where(not_first())
         .select("doc_id", "row", F.col("start").alias("begin"), (F.col("start") + F.col("n") + length - 1).alias("end"))
     )
     shared = classes.groupBy("anchor").count().where("count > 1").select("anchor")
-    leaders = classes.join(shared, "anchor", "left_semi").select(F.col("first.row").bitwiseXOR(F.col("anchor")).alias("mark"))
+    leaders = classes.join(shared, "anchor", "left_semi").select(F.col("first.row").cast("long").bitwiseXOR(F.col("anchor")).alias("mark"))
     leaders = saved(windows_of(docs, bitmap(leaders, mark_bits), length), "leaders")
-    key = ["anchor", "reach", "window"]
+    key = ["anchor", "window"]
     earliest = leaders.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("size")).where("size > 1")
     partly = (
         leaders.join(earliest.drop("size"), key)
@@ -213,7 +211,7 @@ def without_repeats(docs: DataFrame, length: int = MIN_WORDS, mark_bits: int = M
     but not the text are taken in the order of a hash of the text; rows equal in
     both are the same place and neither repeats the other.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("row"))
     gone = (
         repeats(rows, length, mark_bits)
         .groupBy(F.col("doc_id").alias("of"), F.col("row").alias("of_row"))
