@@ -231,3 +231,10 @@ def test_trigger():
     assert period_seconds("P1DT1S") == 86401
     with pytest.raises(ValueError):
         period_seconds("P1M")
+
+
+def test_auto_time_reads_up_to_the_largest_timestamp(spark):
+    texts = ["9100000000000000", "9223372036854775", "9223372036854776"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(parse_time(F.col("t"), "auto").isNotNull()).collect()]
+    assert got == [True, True, False]

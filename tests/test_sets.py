@@ -280,3 +280,8 @@ def test_metric_map(spark):
     assert got["segment/usedPercent"]["value"] == 50.0
     timer = got["query/node/time"]
     assert [timer[c] for c in ("value", "count", "mean", "min", "max", "p50", "p99")] == [None, 2, 20.0, 10.0, 30.0, 10.0, 30.0]
+
+
+def test_unknown_health_stops_the_sweep(spark):
+    owners = [(["x"], False, None), (["y"], False, True)]
+    assert sweep(spark, owners, [None, 0, 100]) == ["keep", "keep", "keep"]

@@ -96,7 +96,7 @@ def test_rule_document():
 def test_shuffle_partitions():
     assert shuffle_partitions(1) == 200
     assert shuffle_partitions(10 * 1024**4) == 40960
-    assert shuffle_partitions(10**18) == 100_000
+    assert shuffle_partitions(10**18) == -(-(10**18) // (256 << 20))
 
 
 def test_shared_folder_is_the_one_the_session_names(spark):

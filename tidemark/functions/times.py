@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.spec import normal_grain, parse_interval, parse_period
 
 # Farther from 1970 a timestamp in microseconds overflows.
-MAX_MILLIS = 9_000_000_000_000_000
+MAX_MILLIS = ((1 << 63) - 1) // 1000
 
 
 def parse_time(col: Column, fmt: str = "iso") -> Column:

@@ -82,10 +82,10 @@ def sweep_orphans(
     """Add the ``action`` due on each item.
 
     An orphan is marked first and deleted once the mark is ``grace`` seconds
-    old; an item in use loses its mark. A single unhealthy owner stops it all.
+    old; an item in use loses its mark. A single owner that is not known to be healthy stops it all.
     """
     held = active_references(owners).select(F.col("name").alias(name), F.lit(True).alias("__held"))
-    all_healthy = owners.agg(F.coalesce(F.bool_and("healthy"), F.lit(True)).alias("ok")).scalar()
+    all_healthy = owners.agg(F.coalesce(F.bool_and(F.coalesce("healthy", F.lit(False))), F.lit(True)).alias("ok")).scalar()
     marked = F.col(marked_at).isNotNull()
     age = seconds_between(F.col(marked_at), stamp(as_of))
     action = (

@@ -10,12 +10,11 @@ from pyspark.sql import SparkSession
 
 # A shuffle partition of about this size fits an executor's task with room to sort.
 PARTITION_BYTES = 256 * 1024 * 1024
-MAX_SHUFFLE_PARTITIONS = 100_000
 
 
 def shuffle_partitions(shuffle_bytes: int) -> int:
     """Partitions for the largest shuffle that is expected."""
-    return max(200, min(MAX_SHUFFLE_PARTITIONS, -(-shuffle_bytes // PARTITION_BYTES)))
+    return max(200, -(-shuffle_bytes // PARTITION_BYTES))
 
 
 def build_session(
