@@ -179,3 +179,20 @@ def test_maintenance_never_overwrites_its_input(spark, folder):
     assert sorted(r["n"] for r in read_datasource(spark, folder, "y").collect()) == [6, 24]
     retain_datasource(spark, folder, "y", "z", [Rule("drop", interval="2024-01-01/2024-01-02")], "2024-02-01", "DAY")
     assert [r["n"] for r in read_datasource(spark, folder, "z").collect()] == [6]
+
+
+def test_second_runs_replace_the_target(spark, folder):
+    write_datasource(hours(spark, 30), folder, "x")
+    for grain in ("DAY", "MONTH"):
+        compact_datasource(spark, folder, "x", "y", grain, [], [Metric("n", "count")], grain, partial=False)
+        assert sum(r["n"] for r in read_datasource(spark, folder, "y").collect()) == 30
+    inside = read_datasource(spark, folder, "y", ["2024-01-01/2024-01-02"])
+    assert [r["n"] for r in inside.collect()] == [30]
+    for end, left in (("2024-01-01T06:00", 24), ("2024-01-01T12:00", 18)):
+        retain_datasource(spark, folder, "x", "z", [Rule("drop", interval=f"2024-01-01/{end}")], "2024-02-01", "HOUR")
+        assert read_datasource(spark, folder, "z").count() == left
+
+
+def test_month_table_is_read_without_a_grain(spark, folder):
+    write_datasource(assign_chunk(hours(spark, 40).drop(CHUNK), "MONTH"), folder, "m")
+    assert read_datasource(spark, folder, "m", ["2024-01-02/2024-01-03"]).count() == 16

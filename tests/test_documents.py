@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions import documents as D
-from tidemark.functions.documents import canonical_json, content_hash, json_equal
+from tidemark.functions.documents import canonical_json, content_hash, json_equal, with_ordered_maps
 from tidemark.operators import documents as O
 
 
@@ -15,17 +15,16 @@ def pairs(spark, rows):
     return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rows)], "i int, current string, desired string")
 
 
-CONFIG = '{"type":"default","strategy":{"type":"fill","spec":{"map":{},"strong":%s}},"scaler":null}'
-LIMITS = '{"millis":900000,"limit":524288000,"ratio":0.1,"list":[],"pause":false,"dims":null}'
+ORDER = '{"order":7,"lines":[{"part":3,"rush":%s},{"part":4,"rush":false}],"customer":{"name":"ann","notes":{}}}'
 
 # name, current, desired, included (None: an error)
 CASES = [
-    ("exact match", '{"key1":"value1","key2":"value2"}', '{ "key1": "value1", "key2": "value2" }', True),
-    ("nested flag differs", CONFIG % "false", CONFIG % "true", False),
-    ("desired has unknown keys", LIMITS, '{"millis":900000,"percent":100,"list":[]}', False),
-    ("part of nested maps", '{"a":1,"b":{"c":"x","d":"y"}}', '{"b":{"c":"x"}}', True),
-    ("nested key missing", '{"a":1,"b":{"c":"x"}}', '{"b":{"d":"x"}}', False),
-    ("part of a list", '{"a":["1","2","3"]}', '{"a":["1","2"]}', True),
+    ("same order spaced apart", '{"order":1,"state":"F"}', '{ "state" : "F",\n "order" : 1 }', True),
+    ("order with a rush line", ORDER % "true", '{"lines":[{"part":3,"rush":true}]}', True),
+    ("order without that rush line", ORDER % "false", ORDER % "true", False),
+    ("order lacks the wanted discount", ORDER % "true", '{"order":7,"discount":0.05}', False),
+    ("one field of the customer", ORDER % "true", '{"customer":{"name":"ann"}}', True),
+    ("customer without phone", ORDER % "true", '{"customer":{"phone":null}}', False),
     ("list in another order", '{"a":[1,2,3]}', '{"a":[3,1]}', True),
     ("list item missing", '{"a":["1","2"]}', '{"a":["3"]}', False),
     ("list members are compared whole", '{"a":[{"x":1,"y":2}]}', '{"a":[{"x":1}]}', False),
@@ -97,6 +96,7 @@ def test_drift(spark):
         (0, '["k\\"q"]', "missing", "0"),
         (0, '["l"]', "differs", "[2,3]"),
         (0, '["m"]', "missing", '{"n":1}'),
+        (2, None, "error", None),
     ]
 
 
@@ -205,6 +205,22 @@ def test_rules(spark):
     assert texts[0].startswith('[{"tieredReplicants"') and texts[1:] == ["null", "null"]
 
 
+def test_broken_rules_are_no_empty_list(spark):
+    texts = ['[{"type":"load"', '{"type":"load"}', "null", " ", '["x"]']
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, rules string")
+    got = [(r["i"], r["position"], r["error"] is None) for r in O.rules_to_rows(df, "i").orderBy("i").collect()]
+    assert got == [(0, None, False), (1, None, False), (4, 0, False)]
+    assert [r[0] for r in df.orderBy("i").select(O.rules_text(F.col("rules"))).collect()] == [None, None, "null", "null", '["x"]']
+
+
+def test_hash_ignores_the_order_of_map_entries(spark):
+    df = spark.sql("""SELECT map('a', 1, 'b', 2) AS m, array(map('x', map('k', 1, 'j', 2))) AS deep
+        UNION ALL SELECT map('b', 2, 'a', 1), array(map('x', map('j', 2, 'k', 1)))
+        UNION ALL SELECT null, null""")
+    hashes = [r[0] for r in df.select(content_hash(*with_ordered_maps(df, ["m", "deep"]))).collect()]
+    assert hashes[0] == hashes[1] != hashes[2]
+
+
 def test_canonical_and_hash(spark):
     df = spark.createDataFrame([('{"b":1,"a":[1, 2.50]}', "x")], "d string, s string")
     row = df.select(canonical_json(F.col("d")).alias("c"), content_hash("s").alias("h")).first()

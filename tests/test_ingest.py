@@ -238,3 +238,10 @@ def test_auto_time_reads_up_to_the_largest_timestamp(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in df.select(parse_time(F.col("t"), "auto").isNotNull()).collect()]
     assert got == [True, True, False]
+
+
+def test_values_that_are_no_numbers_count_as_null(spark):
+    df = spark.createDataFrame([("n/a",), ("2.5",), (None,), ("1e17",)], "v string").withColumn(TIME, F.lit("2024-01-01").cast("timestamp"))
+    metrics = [Metric("n", "count"), Metric("s", "doubleSum", "v", 2), Metric("low", "doubleMin", "v"), Metric("high", "doubleMax", "v")]
+    row = rollup(df, [], metrics, "DAY").first()
+    assert (row["n"], row["s"], row["low"], row["high"]) == (4, 1e17 + 2.5, 2.5, 1e17)

@@ -148,6 +148,8 @@ def test_quantity(spark):
         "-1.25Mi": Decimal("-1.25") * 1024**2,
         "7E": 7 * 10**18,
         "2e-3": Decimal("0.002"),
+        "1073741824Ki": 1024**4,
+        "12345678901.5Ki": Decimal("12345678901.5") * 1024,
         "": None,
         "Gi": None,
         "x": None,

@@ -11,11 +11,11 @@ from __future__ import annotations
 
 import json
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,8 +36,33 @@ def map_like(doc: Column) -> Column:
     return F.coalesce(shape & F.try_parse_json(doc).isNotNull(), F.lit(False))
 
 
+def ordered_maps(col: Column, kind: T.DataType) -> Column:
+    """The same value with the entries of maps at any depth in the order of their keys."""
+    if "map" not in kind.simpleString():
+        return col
+    if isinstance(kind, T.MapType):
+        entries = F.transform(
+            F.map_entries(col),
+            lambda e: F.struct(e["key"].alias("key"), ordered_maps(e["value"], kind.valueType).alias("value")),
+        )
+        return F.map_from_entries(
+            F.array_sort(entries, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+        )
+    if isinstance(kind, T.ArrayType):
+        return F.transform(col, lambda x: ordered_maps(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        fields = F.struct(*[ordered_maps(col[f.name], f.dataType).alias(f.name) for f in kind.fields])
+        return F.when(col.isNotNull(), fields)
+    return col
+
+
+def with_ordered_maps(df: DataFrame, names: Iterable[str]) -> list[Column]:
+    """These columns, each with its maps in order."""
+    return [ordered_maps(F.col(f"`{c}`"), df.schema[c].dataType).alias(c) for c in names]
+
+
 def content_hash(*cols: Column | str) -> Column:
-    """Base64 of the SHA-1 of the row as JSON text."""
+    """Base64 of the SHA-1 of the row as JSON text. Maps should be in order: ``with_ordered_maps``."""
     return F.base64(F.unhex(F.sha1(F.to_json(F.struct(*cols)))))
 
 
@@ -126,14 +151,14 @@ def _equal(reader: _Reader, a: str | None, b: str | None) -> bool | None:
     return not words or _ENCODER.encode(left) == _ENCODER.encode(right)
 
 
-def _drift_rows(pair: tuple[object, object] | None) -> list[dict[str, str]]:
-    return [
+def _drift_rows(pair: tuple[object, object] | None) -> list[dict[str, str]] | None:
+    return None if pair is None else [
         {
             "path": "".join(f"[{_ENCODER.encode(key)}]" for key in path),
             "state": state,
             "desired": _ENCODER.encode(node),
         }
-        for path, state, node in sorted(_gaps(*pair) if pair else (), key=lambda gap: gap[0])
+        for path, state, node in sorted(_gaps(*pair), key=lambda gap: gap[0])
     ]
 
 
@@ -170,5 +195,5 @@ def json_includes(current: Column, desired: Column) -> Column:
 
 
 def drift_items(current: Column, desired: Column) -> Column:
-    """``array<struct<path, state, desired>>`` of what current lacks or holds differently."""
+    """``array<struct<path, state, desired>>`` of what current lacks or holds differently; null if a side is no JSON map."""
     return _json_drift(current, desired)

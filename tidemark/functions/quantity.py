@@ -18,8 +18,10 @@ def quantity(text: Column) -> Column:
     twos = F.create_map(*[F.lit(x) for k, v in POWERS_OF_TWO.items() for x in (k, 2**v)])
     # a power of ten is exact as text, a power of two as a whole number
     exponent = F.when(power != "", power).otherwise(F.try_element_at(tens, unit))
-    scaled = F.coalesce(
-        F.concat(number, F.lit("e"), exponent).try_cast("decimal(38,9)"),
-        (number.try_cast("decimal(18,9)") * F.try_element_at(twos, unit).cast("decimal(19,0)")).cast("decimal(38,9)"),
-    )
+    two = F.try_element_at(twos, unit).cast("decimal(19,0)")
+    value = number.try_cast("decimal(28,9)")
+    # whole and fraction apart, as one product would need more digits than a decimal has
+    whole, rest = F.floor(value), (value - F.floor(value)).cast("decimal(9,9)")
+    binary = F.try_add(F.try_multiply(whole, two).try_cast("decimal(38,9)"), (rest * two).cast("decimal(38,9)"))
+    scaled = F.coalesce(F.concat(number, F.lit("e"), exponent).try_cast("decimal(38,9)"), binary.try_cast("decimal(38,9)"))
     return F.when(text.rlike(_SHAPE), scaled)

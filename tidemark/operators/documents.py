@@ -38,13 +38,16 @@ def json_drift(df: DataFrame, key: str | Iterable[str], current: str, desired: s
     """One row per path of desired that current lacks or holds differently.
 
     ``path`` reads ``["a"]["b"]``, ``state`` is ``missing`` or ``differs``. A
-    list differs if current lacks one of its members. Documents that are no
-    JSON maps have no drift; ``compare_includes`` reports them.
+    list differs if current lacks one of its members. A pair of which one is no
+    JSON map gives one row without a path, of state ``error``.
     """
     keys = _list(key)
-    unequal = df.where(~F.col(current).eqNullSafe(F.col(desired)))
-    items = unequal.select(*keys, F.explode(drift_items(F.col(current), F.col(desired))).alias("__item"))
-    return items.select(*keys, "__item.*")
+    unequal = df.where(~F.col(current).eqNullSafe(F.col(desired)) | ~map_like(F.col(desired)))
+    items = unequal.select(*keys, drift_items(F.col(current), F.col(desired)).alias("__items"))
+    none = F.lit(None).cast("string")
+    unreadable = F.array(F.struct(none.alias("path"), F.lit("error").alias("state"), none.alias("desired")))
+    opened = items.select(*keys, F.explode(F.coalesce("__items", unreadable)).alias("__item"))
+    return opened.select(*keys, "__item.*")
 
 
 def resolve_spec(df: DataFrame, native: str = "native", text: str = "text") -> DataFrame:
@@ -117,20 +120,39 @@ def extract_task_id(df: DataFrame, response: str = "response") -> DataFrame:
 
 
 def rules_to_rows(df: DataFrame, key: str | Iterable[str], rules: str = "rules") -> DataFrame:
-    """One row per rule document of a JSON list, in its order; no rules, no rows."""
-    opened = df.select(
+    """One row per rule document of a JSON list, in its order; no rules, no rows.
+
+    A text that is no JSON list gives one row without position, with the error.
+    """
+    opened = df.where(~rules_broken(F.col(rules))).select(
         *_list(key), F.posexplode(F.from_json(F.col(rules), "array<variant>")).alias("position", "__rule")
     )
-    return opened.select(
+    broken = df.where(rules_broken(F.col(rules))).select(
         *_list(key),
+        F.lit(None).cast("int").alias("position"),
+        F.lit(None).cast("string").alias("type"),
+        F.lit(None).cast("string").alias("rule"),
+        F.lit(BAD_RULE).alias("error"),
+    )
+    rows = opened.select(        *_list(key),
         "position",
         F.try_variant_get("__rule", "$.type", "string").alias("type"),
         F.to_json("__rule").alias("rule"),
         F.when(~_kind_at(F.col("__rule")).isin("OBJECT", "VOID"), F.lit(BAD_RULE)).alias("error"),
     )
+    return rows.unionByName(broken)
+
+
+def rules_broken(rules: Column) -> Column:
+    """True if there is a text that is neither a JSON list nor ``null``."""
+    kind = _kind_at(F.try_parse_json(rules))
+    return F.coalesce(F.btrim(rules) != "", F.lit(False)) & ~F.coalesce(kind.isin("ARRAY", "VOID"), F.lit(False))
 
 
 def rules_text(rules: Column) -> Column:
-    """The list as one text for the store; an empty list is ``null``, not ``[]``."""
+    """The list as one text for the store; an empty list is ``null``, not ``[]``.
+
+    A text that is no JSON list gives a null column, not the text ``null``.
+    """
     size = F.size(F.from_json(rules, "array<variant>"))
-    return F.when((size > 0), canonical_json(rules)).otherwise(F.lit("null"))
+    return F.when((size > 0), canonical_json(rules)).when(~rules_broken(rules), F.lit("null"))

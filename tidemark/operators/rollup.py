@@ -18,27 +18,27 @@ KLL_K = 200
 
 def _double_sum(col: Column, scale: int | None) -> Column:
     if scale is None:
-        return F.sum(col.cast("double"))
-    return F.sum(col.cast(f"decimal(18,{scale})")).cast("double")
+        return F.sum(col.try_cast("double"))
+    return F.sum(col.try_cast(f"decimal(28,{scale})")).cast("double")
 
 
 def aggregate_of(metric: Metric) -> Column:
-    """The aggregate that builds a metric from raw rows."""
+    """The aggregate that builds a metric from raw rows; values that are no numbers count as null."""
     field = F.col(f"`{metric.field}`") if metric.field else None
     if metric.type == "count":
         agg = F.count(F.lit(1))
     elif metric.type == "doubleSum":
         agg = _double_sum(field, metric.scale)
     elif metric.type == "doubleMin":
-        agg = F.min(field.cast("double"))
+        agg = F.min(field.try_cast("double"))
     elif metric.type == "doubleMax":
-        agg = F.max(field.cast("double"))
+        agg = F.max(field.try_cast("double"))
     elif metric.type == "thetaSketch":
         agg = F.theta_sketch_agg(field, THETA_LG_K)
     elif metric.type == "hllSketch":
         agg = F.hll_sketch_agg(field, HLL_LG_K)
     elif metric.type == "quantiles":
-        agg = F.kll_sketch_agg_double(field.cast("double"), KLL_K)
+        agg = F.kll_sketch_agg_double(field.try_cast("double"), KLL_K)
     else:
         raise ValueError(f"unknown metric type: {metric.type!r}")
     return agg.alias(metric.name)

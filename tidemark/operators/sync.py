@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.documents import content_hash
+from tidemark.functions.documents import content_hash, ordered_maps
 from tidemark.functions.maps import flag_set, labels_match
 from tidemark.functions.times import seconds_between, stamp
 
@@ -41,9 +41,9 @@ def plan_sync(
     Both sides are cut to key and content hash before they are shuffled.
     """
     columns = list(columns) if columns else [c for c in desired.columns if c not in keys]
-    # a column that is the same but for its type must hash the same
+    # a column that is the same but for its type or the order of map entries must hash the same
     types = {f.name: f.dataType for f in desired.schema.fields}
-    hashed = content_hash(*[F.col(c).cast(types[c]).alias(c) for c in columns])
+    hashed = content_hash(*[ordered_maps(F.col(c).cast(types[c]), types[c]).alias(c) for c in columns])
     want = desired.select(*keys, hashed.alias("desired_hash"))
     have = current.select(*keys, hashed.alias("current_hash"))
     action = (

@@ -35,15 +35,15 @@ def compact_datasource(
 ) -> str:
     """Write the compacted table below another name; gives its path.
 
-    A failed run leaves the table that is read untouched, and running it again
-    replaces the chunks it wrote.
+    A failed run leaves the table that is read untouched. Running it again, with
+    another grain as well, replaces the target as a whole.
     """
     target = _other_path(root, name, target)
     rows = read_datasource(spark, root, name)
     merged = compact(
         rows, grain, dims, metrics, query_granularity, skip_offset, current_grain=current_grain, partial=partial
     )
-    return write_datasource(merged, root, target, "replace", max_rows)
+    return write_datasource(merged, root, target, "whole", max_rows)
 
 
 def retain_datasource(
@@ -58,8 +58,9 @@ def retain_datasource(
 ) -> str:
     """Write the chunks that no rule drops below another name; gives its path.
 
-    Files of dropped chunks are not read.
+    Files of dropped chunks are not read. The target is replaced as a whole, so
+    that chunks which an earlier run kept go when the rules now drop them.
     """
     target = _other_path(root, name, target)
     kept = apply_retention(read_datasource(spark, root, name), rules, as_of, grain)
-    return write_datasource(kept.where(F.col(CHUNK).isNotNull()), root, target, "replace", max_rows)
+    return write_datasource(kept.where(F.col(CHUNK).isNotNull()), root, target, "whole", max_rows)

@@ -11,6 +11,10 @@ from tidemark.functions.times import grain_length, in_intervals, stamp
 from tidemark.spec import CHUNK, TIME, parse_interval
 
 
+# The longest chunk there is.
+LONGEST = "year"
+
+
 def table_path(root: str, name: str) -> str:
     return f"{root.rstrip('/')}/{name}"
 
@@ -26,10 +30,10 @@ def write_datasource(
     """Write rows that carry ``__chunk`` below ``root/name``.
 
     ``replace`` replaces just the chunks that the rows touch, ``append`` adds
-    to them. Rows are rebalanced on the chunk: small chunks share a task and a
+    to them, ``whole`` replaces the table. Rows are rebalanced on the chunk: small chunks share a task and a
     chunk that holds much of the table is split over many, which needs AQE.
     """
-    if mode not in ("replace", "append"):
+    if mode not in ("replace", "append", "whole"):
         raise ValueError(f"unknown write mode: {mode!r}")
     parts = [CHUNK, *extra_partitions]
     path = table_path(root, name)
@@ -38,6 +42,8 @@ def write_datasource(
         writer = writer.option("maxRecordsPerFile", max_rows)
     if mode == "replace":
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    elif mode == "whole":
+        writer.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
     else:
         writer.mode("append").parquet(path)
     return path
@@ -53,14 +59,18 @@ def chunk_overlaps(intervals: Iterable[str], grain: str) -> Column:
     return F.lit(True) if hit is None else hit
 
 
-def time_range(df: DataFrame, intervals: Iterable[str], grain: str = "day") -> DataFrame:
-    """Rows inside the intervals; ``grain`` is the longest chunk in the table."""
+def time_range(df: DataFrame, intervals: Iterable[str], grain: str = LONGEST) -> DataFrame:
+    """Rows inside the intervals.
+
+    ``grain`` is the longest chunk in the table. Without it no chunk is skipped
+    that could reach into an interval, whatever its grain.
+    """
     wanted = list(intervals)
     return df.where(chunk_overlaps(wanted, grain)).where(in_intervals(F.col(TIME), wanted))
 
 
 def read_datasource(
-    spark: SparkSession, root: str, name: str, intervals: Iterable[str] | None = None, grain: str = "day"
+    spark: SparkSession, root: str, name: str, intervals: Iterable[str] | None = None, grain: str = LONGEST
 ) -> DataFrame:
     df = spark.read.parquet(table_path(root, name))
     return df if intervals is None else time_range(df, intervals, grain)
