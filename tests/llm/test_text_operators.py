@@ -1,5 +1,6 @@
 """Text operators against SQL or brute force, and on nulls, empty and long texts, ties, repeats and clashing names."""
 
+import itertools
 import math
 import re
 import zlib
@@ -249,6 +250,22 @@ def test_decontamination_tolerates_substitutions(spark):
     assert decontaminate.overlaps(docs, tests.limit(0)).count() == 0
 
 
+def test_longest_overlap_is_the_declared_rule():
+    """All substitution patterns of whole short items, and random diagonals against all stretches."""
+    for n, changes in ((12, 1), (13, 1), (13, 2), (14, 2), (15, 2), (15, 3)):
+        for changed in itertools.combinations(range(n), changes):
+            doc = np.arange(n + 20)
+            doc[[10 + i for i in changed]] = -1
+            assert decontaminate.longest_overlap(doc, np.arange(10, n + 10), 10, 0.8) == (10, n, n - changes)
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        same = rng.random(rng.integers(1, 40)) < rng.choice([0.3, 0.7, 0.9])
+        stretches = [(j - i, int(same[i:j].sum()), -i) for j in range(len(same) + 1) for i in range(j + 1)]
+        length, equal, start = max(x for x in stretches if 10 * x[1] >= 8 * x[0])
+        got = decontaminate.longest_overlap(same.astype(int), np.ones(len(same), int), 0, 0.8)
+        assert got[1:] == (length, equal) and (not length or got[0] == -start)
+
+
 def luhn(number):
     values = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(number))]
     return sum(v - 9 * (v > 9) for v in values) % 10 == 0

@@ -18,7 +18,6 @@ SPAN = max(map(len, MASKS))
 MIN_WORDS = 5
 MIN_OVERLAP = 13
 SIMILARITY = 0.8
-MISMATCH = -2
 MARK_BITS = 1 << 27
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
@@ -123,18 +122,20 @@ def marked_parts(docs: DataFrame, marks: np.ndarray, short: tuple[int, ...], mar
     )
 
 
-def best_overlap(a: np.ndarray, b: np.ndarray, shift: int) -> tuple[int, int, int]:
-    """On one diagonal (a[i] beside b[i - shift]): start in a, length and equal words of the best stretch.
-
-    Best is the largest sum of 1 for equal and ``MISMATCH`` for other words.
+def longest_overlap(a: np.ndarray, b: np.ndarray, shift: int, similarity: float) -> tuple[int, int, int]:
+    """On one diagonal (a[i] beside b[i - shift]): start in a, length and equal words of the longest stretch of which
+    ``similarity`` are equal; of several, the first with most equal words. Length 0 if there is none.
     """
     low, high = max(0, shift), min(len(a), len(b) + shift)
-    same = a[low:high] == b[low - shift : high - shift]
-    total = np.r_[0, np.cumsum(np.where(same, 1, MISMATCH))]
+    equal = np.r_[0, np.cumsum(a[low:high] == b[low - shift : high - shift])]
+    # A stretch qualifies if its sum of (equal - similarity) is not below 0, but for rounding.
+    total = equal - similarity * np.arange(len(equal))
     lowest = np.minimum.accumulate(total)
-    end = int(np.argmax(total - lowest))
-    start = int(np.flatnonzero(total[: end + 1] == lowest[end])[-1])
-    return low + start, end - start, int(same[start:end].sum())
+    start = np.minimum(np.searchsorted(-lowest, -(total + 1e-9)), np.arange(len(equal)))
+    length = np.arange(len(equal)) - start
+    same = equal - equal[start]
+    end = int(np.lexsort((-same, -length))[0])
+    return low + int(start[end]), int(length[end]), int(same[end])
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, min_overlap: int = MIN_OVERLAP, similarity: float = SIMILARITY, mark_bits: int = MARK_BITS) -> DataFrame:
@@ -172,8 +173,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_overlap: int = MIN_OVERL
             rows = []
             for r in range(batch.num_rows):
                 doc, item = (np.asarray(batch.column(c)[r].values) for c in ("doc_words", "words"))
-                start, length, equal = best_overlap(doc, item, batch.column("shift")[r].as_py())
-                if length >= min(min_overlap, len(item)) and equal >= similarity * length:
+                start, length, equal = longest_overlap(doc, item, batch.column("shift")[r].as_py(), similarity)
+                if length >= min(min_overlap, len(item)):
                     rows.append((batch.column("doc_id")[r].as_py(), batch.column("item_id")[r].as_py(), batch.column("begins")[r].as_py() + start, length, equal))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.int64()) for k in range(5)], ["doc_id", "item_id", "doc_start", "length", "equal"])
 
