@@ -266,6 +266,25 @@ def test_longest_overlap_is_the_declared_rule():
         assert got[1:] == (length, equal) and (not length or got[0] == -start)
 
 
+def test_every_overlap_has_a_seed(spark):
+    for n in range(5, 21):
+        masks = [m for m in (*decontaminate.MASKS, *decontaminate.SHORT_MASKS.get(n, ())) if len(m) <= n]
+        for changed in itertools.combinations(range(n), n // 5):
+            same = ["0" if i in changed else "1" for i in range(n)]
+            assert any(all(same[at + i] == "1" for i, c in enumerate(m) if c == "1") for m in masks for at in range(n - len(m) + 1))
+    items = {n: [f"q{n}x{i}" for i in range(n)] for n in (5, 6, 7, 10, 11, 12, 13, 15, 200)}
+    docs = []
+    for n, item in items.items():
+        for changed in ((2,), (3,)) if n < 10 else ((3, 6), (2, 7), (3, 7)) if n < 15 else ((3, 7, 11),) if n == 15 else (range(4, 200, 5), range(0, 200, 5)):
+            docs.append((n, " ".join(["a"] * 9 + ["other" if i in changed else w for i, w in enumerate(item)] + ["b"] * 9)))
+    rows = [(1000 * k + n, t) for k, (n, t) in enumerate(docs)]
+    found = decontaminate.overlaps(
+        spark.createDataFrame(rows, "doc_id long, text string"),
+        spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string"),
+    ).collect()
+    assert sorted((r.doc_id, r.item_id, r.length) for r in found) == sorted((d, d % 1000, d % 1000) for d, _ in rows)
+
+
 def luhn(number):
     values = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(number))]
     return sum(v - 9 * (v > 9) for v in values) % 10 == 0

@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import bitmap, in_bitmap, query, saved, table, unused
 from tidemark.llm.tokens import LOWER, WordHashes, hashed, signed, slices, windows, within
 
-# Fixed masks: 1 counts, 0 is ignored. A hit needs the words at the ones only.
-MASKS = ("11101100111", "11110010111", "11001111101", "11111111")
-SPAN = max(map(len, MASKS))
+# Fixed masks: 1 counts, 0 is ignored. A hit needs the words at the ones only. k changed words cut a stretch of
+# n >= 5k words into k + 1 runs, so one run has four words unless n <= 4k + 3. From 13 words on that leaves three
+# changes in 15 words, in runs of three, which the second mask meets. Shorter items have to match as a whole; what the
+# two masks miss of them has masks of its own, looked for only if there are items of that length.
+MASKS = ("1111", "1110111")
+SHORT_MASKS = {5: ("11101", "11011", "10111"), 6: ("111011", "110111"), 10: ("1110110111",)}
+SPAN = max(map(len, (*MASKS, *(m for short in SHORT_MASKS.values() for m in short))))
 MIN_WORDS = 5
 MIN_OVERLAP = 13
 SIMILARITY = 0.8
@@ -28,13 +32,12 @@ def normal_words(text: bytes) -> list[bytes]:
 
 
 def seeds(words: np.ndarray, ends: np.ndarray, short: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and starts of all masked windows, and of plain windows of each length in ``short``."""
+    """Hashes and starts of all masked windows, and of those for items of each length in ``short``."""
     found = []
-    shapes = [(k, tuple(i for i, c in enumerate(m) if c == "1"), len(m)) for k, m in enumerate(MASKS)]
-    for salt, places, span in shapes + [(100 + n, tuple(range(n)), n) for n in short]:
-        h = windows(words, places, salt + 1)
+    for mask in (*MASKS, *(m for n in short for m in SHORT_MASKS.get(n, ()))):
+        h = windows(words, tuple(i for i, c in enumerate(mask) if c == "1"), int(mask, 2))
         starts = np.arange(len(h))
-        inside = within(ends, starts, span)
+        inside = within(ends, starts, len(mask))
         found.append((h[inside], starts[inside]))
     return np.concatenate([h for h, _ in found]), np.concatenate([s for _, s in found])
 
@@ -58,17 +61,13 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 
 
 def item_seeds(items: DataFrame) -> DataFrame:
-    """``hash, item_id, place``. An item shorter than the masks is one plain window of its own length."""
+    """``hash, item_id, place``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for item, words in zip(batch.column("item_id").to_pylist(), batch.column("words").to_pylist(), strict=True):
                 array = np.array(words, np.int64).view(np.uint64)
-                ends = np.array([0, len(array)])
-                if len(array) >= SPAN:
-                    h, at = seeds(array, ends, ())
-                else:
-                    h, at = windows(array, range(len(array)), 101 + len(array)), np.zeros(1, np.int64)
+                h, at = seeds(array, np.array([0, len(array)]), (len(array),))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(h)), pa.array([item] * len(h), pa.int64()), pa.array(at.astype(np.int32))],
                     ["hash", "item_id", "place"],
@@ -145,7 +144,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_overlap: int = MIN_OVERL
     if shorter), word beside word, of which ``similarity`` are equal. Words are
     compared without punctuation and case. Items of equal words count once, under
     the smallest id; items under ``MIN_WORDS`` words are no evidence and are left
-    out; those shorter than the masks are found only whole and unchanged.
+    out. With the default thresholds, or stricter ones, every overlap has a seed.
 
     The training side meets the test side first as a bitmap of fixed size, so
     only stretches that hit it leave the scan; the join with the test hashes is
@@ -158,7 +157,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_overlap: int = MIN_OVERL
     longest = items.agg(F.max(F.size("words"))).first()[0]
     if longest is None:
         return docs.sparkSession.createDataFrame([], RESULT)
-    short = tuple(r[0] for r in items.select(F.size("words").alias("n")).where(F.col("n") < SPAN).distinct().collect())
+    short = tuple(r[0] for r in items.select(F.size("words").alias("n")).where(F.col("n").isin(*SHORT_MASKS)).distinct().collect())
     parts = saved(marked_parts(docs, bitmap(tests.select("hash"), mark_bits), short, longest), "parts")
     hits = parts.select("part", F.explode(F.arrays_zip("hashes", "places")).alias("hit"))
     on_diagonal = (
