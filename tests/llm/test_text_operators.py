@@ -19,6 +19,7 @@ from tidemark.llm import (
     line_dedup,
     lm_scoring,
     mixing,
+    near_copies,
     pii,
     quality_rules,
     simhash_trie,
@@ -137,6 +138,47 @@ def test_simhash_odd_rows(odd):
     assert simhash_trie.near_duplicates(odd.limit(0)).count() == 0
 
 
+def five_word_sets(rows):
+    words = [(t or "").encode().lower().decode().split() for _, t in rows]
+    return [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+
+
+def kept_by_jaccard(rows):
+    """Rows (doc_id, text) whose doc_id is the smallest of their component, null after all others."""
+    sets = five_word_sets(rows)
+    near = [(a, b) for b in range(len(rows)) for a in range(b) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    root = components_of(near, range(len(rows)))
+    least = {}
+    for k, (d, _) in enumerate(rows):
+        least[root[k]] = min(least.get(root[k], math.inf), math.inf if d is None else d)
+    return Counter(r for k, r in enumerate(rows) if least[root[k]] == (math.inf if r[0] is None else r[0]))
+
+
+def test_near_copies_against_jaccard(spark):
+    """Pairs at 0.8 to 0.98, a template crowd whose members are strangers at under 0.8 but for a few, null and repeated ids."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(120):
+        words = [f"w{x}" for x in rng.integers(5000, size=200)]
+        other = list(words)
+        for at in rng.choice(200, rng.integers(1, 7), replace=False):
+            other[at] = "changed"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    template = [f"t{x}" for x in range(100)]
+    for k in range(150):
+        own = [f"c{k // 2}x{i}" for i in range(9)] + [f"d{k}x{i}" for i in range(7)]
+        rows.append((1000 + k, " ".join(template + own)))
+    rows += [(None, rows[0][1]), (None, "only one here of its kind at all"), (5, "another text under an id that is taken"), (2000, None), (2001, " ")]
+    sets = five_word_sets(rows)
+    strangers = [len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(240, 390) for b in range(240, a) if a // 2 != b // 2]
+    assert max(strangers) < 0.8
+    docs = spark.createDataFrame([(d, t, "k") for d, t in rows], "doc_id long, text string, of string")
+    kept = near_copies.first_of_near_copies(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == kept_by_jaccard(rows)
+    assert near_copies.first_of_near_copies(docs.limit(0)).count() == 0
+
+
 def counts(text):
     text = text or ""
     words = WORD.findall(text)
