@@ -179,6 +179,25 @@ def test_near_copies_against_jaccard(spark):
     assert near_copies.first_of_near_copies(docs.limit(0)).count() == 0
 
 
+def test_rows_without_id_are_told_apart(spark):
+    """A copy under a null or taken id goes, other texts under that id stay, in documents and in lines."""
+    copy, other, third = ("\n".join(" ".join(f"{x}{k}w{i}" for i in range(12)) for k in range(2)) for x in "abc")
+    mixed = copy.split("\n")[0] + "\n" + third.split("\n")[1]
+    rows = [(1, copy), (None, copy), (None, other), (2, third), (2, copy), (None, mixed), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def left(found):
+        return Counter((r.doc_id, r.text) for r in found.collect())
+
+    assert left(simhash_trie.one_of_each(docs)) == Counter(x for x in rows if x not in [(None, copy), (2, copy)])
+    tests = spark.createDataFrame([(1, third)], "item_id long, text string")
+    assert left(decontaminate.without_leaks(docs, tests)) == Counter(x for x in rows if x[1] != third and x[1] != mixed)
+    # Rows without an id come before all others; either of two such rows may keep the line they share.
+    found = left(line_dedup.without_duplicate_lines(docs))
+    rest = Counter([(None, other), (2, third.split("\n")[0]), (None, None)])
+    assert found in (rest + Counter([(None, copy), (None, third.split("\n")[1])]), rest + Counter([(None, copy.split("\n")[1]), (None, mixed)]))
+
+
 def counts(text):
     text = text or ""
     words = WORD.findall(text)

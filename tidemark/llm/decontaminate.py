@@ -188,10 +188,11 @@ RESULT = "doc_id long, item_id long, doc_start long, length long, equal long"
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that overlap no benchmark item; all columns stay. A null id is matched like any other."""
+    """The documents that overlap no benchmark item; all columns stay. Rows go by their text, whatever shares their id."""
     (leak,) = unused(docs, "leak")
-    leaks = overlaps(docs, benchmark).select(F.col("doc_id").alias(leak)).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col(leak)), "left_anti")
+    row = F.xxhash64(F.lit("row"), "text")
+    leaks = overlaps(docs.select(row.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(leak)).distinct()
+    return docs.join(leaks, row == F.col(leak), "left_anti")
 
 
 @query("op6_decontamination")

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import query, saved, table, unused
+from tidemark.llm.common import query, saved, table, text_key, unused
 from tidemark.llm.graph import components
 from tidemark.llm.tokens import slices
 
@@ -53,17 +53,18 @@ def majority(hashes: list[int]) -> int:
     return int(np.packbits(counts.ravel() * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a long); without a word it is zero."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, key: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, fp`` (the 64 bits as a long), and what ``key`` names of ``text_key``; without a word fp is zero."""
+    names = ["doc_id", *key]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch):
                 fp = np.fromiter((majority(shingle_hashes(t, shingle)) for t in texts), np.uint64, len(texts))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(fp.view(np.int64))], [*names, "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(scan, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(text_key()[c].alias(c) for c in key), "text")
+    return rows.mapInArrow(scan, ", ".join(f"{c} long" for c in (*names, "fp")))
 
 
 class Forest:
@@ -213,15 +214,17 @@ def links(distinct: DataFrame, budget: int = MAX_DIFFERENT, node_size: int = NOD
     return done if out is None else out.unionByName(done)
 
 
-def near_duplicates(docs: DataFrame, budget: int = MAX_DIFFERENT, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp, component_id``: the smallest doc_id that links within ``budget`` bits lead to.
+def near_duplicates(
+    docs: DataFrame, budget: int = MAX_DIFFERENT, shingle: int = SHINGLE, key: tuple[str, ...] = ()
+) -> DataFrame:
+    """``doc_id, fp, component_id``, and ``key``: the smallest doc_id that links within ``budget`` bits lead to.
 
     Equal fingerprints become one node before the join, so a group of copies of
     any size is one value. Null, empty and blank texts have fingerprint zero and
     are linked like others. Rows that share a doc_id keep their own fingerprints;
     a null doc_id never names a component unless all ids in it are null.
     """
-    found = saved(fingerprints(docs, shingle), "fingerprints")
+    found = saved(fingerprints(docs, shingle, key), "fingerprints")
     distinct = saved(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     tied = components(links(distinct.select("fp"), budget))
     rooted = distinct.join(tied, F.col("fp") == F.col("node"), "left").select(
@@ -230,19 +233,23 @@ def near_duplicates(docs: DataFrame, budget: int = MAX_DIFFERENT, shingle: int =
     rooted = saved(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select(F.col("fp").alias("of"), "component_id")
-    return found.join(named, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
+    return found.join(named, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id", *key)
 
 
 def one_of_each(docs: DataFrame, budget: int = MAX_DIFFERENT, shingle: int = SHINGLE) -> DataFrame:
     """The documents with the smallest id of their component; all columns stay.
 
-    Rows that repeat a doc_id count as one document: they stay or go together.
-    Documents with null ids stay only if their component has no other id.
+    Rows that share a doc_id, or have none, are told apart by their text: each
+    goes or stays by its own component. Documents with null ids stay only if
+    their component has no other id.
     """
-    (gone,) = unused(docs, "gone")
-    known = near_duplicates(docs, budget, shingle)
-    others = known.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(others, F.col("doc_id").eqNullSafe(F.col(gone)), "left_anti")
+    of, h, g = unused(docs, "gone", "h_gone", "g_gone")
+    key = text_key()
+    known = near_duplicates(docs, budget, shingle, tuple(key))
+    others = known.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    others = others.select(F.col("doc_id").alias(of), F.col("h").alias(h), F.col("g").alias(g)).distinct()
+    same = (key["h"] == F.col(h)) & (key["g"] == F.col(g)) & F.col("doc_id").cast("long").eqNullSafe(F.col(of))
+    return docs.join(others, same, "left_anti")
 
 
 @query("op1_simhash")
