@@ -430,6 +430,21 @@ def test_line_dedup(spark, texts):
     assert got.keys() <= want.keys() and len(got) >= 0.98 * len(want)
 
 
+def test_lines_agree_by_characters(spark):
+    """One changed character, in lines without spaces and within words; the brute force cuts its shingles itself."""
+    rng = np.random.default_rng(2)
+    long = ["".join(chr(0x4E00 + x) for x in rng.integers(0, 9000, 90)), "https://" + "".join(rng.choice(list("abcdefgh/"), 90))]
+    long += [" ".join("".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(11)) for _ in range(30)]
+    lines = [y for x in long for y in (x, x[:40] + "#" + x[41:])] + ["abc", "abd", "x"]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    sets = [{x[i : i + 5] for i in range(max(1, len(x) - 4))} for x in lines]
+    near = [(a, b) for b in range(len(lines)) for a in range(b) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    root = components_of(near, range(len(lines)))
+    want = {(k, root[k]) for k in root if root[k] != k}
+    got = {(r.doc_id, r.kept_doc_id) for r in line_dedup.duplicate_lines(docs).collect()}
+    assert len(want) == 32 and got <= want and len(got) >= 31 and {(1, 0), (3, 2)} <= got
+
+
 def test_line_dedup_odd_rows(spark, odd):
     gone = line_dedup.duplicate_lines(odd).collect()
     assert {(r.doc_id, r.kept_doc_id) for r in gone} == {(5, 4), (6, None)}
