@@ -5,9 +5,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import ordering
 from tidemark.operators.chunks import assign_segment, chunk_summary, compact
-from tidemark.operators.ordering import previous_in_runs, row_number_in_runs
+from tidemark.operators.ordering import BUCKET, bucketed, previous_values, row_numbers, running
 from tidemark.operators.retention import (
     apply_retention,
     assign_rules,
@@ -37,37 +36,70 @@ def skewed(spark, seed, n=600):
 
 
 @pytest.mark.parametrize("seed", range(3))
-@pytest.mark.parametrize("heavy", [0, 150, 10_000])
-def test_row_numbers_equal_a_plain_window(spark, seed, heavy):
+@pytest.mark.parametrize("buckets", [2, 7, 64, None])
+def test_row_numbers_equal_a_plain_window(spark, seed, buckets):
     df = skewed(spark, seed)
-    got = row_number_in_runs(df, ["k"], ["t", "i"], F.date_trunc("hour", "t"), "rn", heavy)
+    got = row_numbers(df, ["k"], ["t", "i"], "rn", buckets)
     want = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("t", "i")))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
 @pytest.mark.parametrize("seed", range(3))
-@pytest.mark.parametrize(("grain", "heavy"), [("minute", 0), ("hour", 0), ("year", 0), ("hour", 150), ("hour", 10_000)])
-def test_previous_equals_a_plain_lag(spark, seed, grain, heavy):
+@pytest.mark.parametrize("buckets", [2, 7, 64, None])
+def test_previous_equals_a_plain_lag(spark, seed, buckets):
     df = skewed(spark, seed)
-    got = previous_in_runs(df, ["k"], ["t", "i"], "s", F.date_trunc(grain, "t"), "p", heavy)
+    got = previous_values(df, ["k"], ["t", "i"], "s", "p", buckets)
     want = df.withColumn("p", F.lag(F.struct(F.col("s").alias("value"))).over(Window.partitionBy("k").orderBy("t", "i")))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
-def test_only_heavy_groups_are_cut(spark, monkeypatch):
-    df = skewed(spark, 1)
-    whole = previous_in_runs(df, ["k"], ["t", "i"], "s", F.date_trunc("hour", "t"), "p")
-    assert "__run" not in whole._jdf.queryExecution().optimizedPlan().toString()
-    # too many heavy groups to name them: all are cut, with the same result
-    monkeypatch.setattr(ordering, "MAX_NAMED", 1)
-    cut = previous_in_runs(df, ["k"], ["t", "i"], "s", F.date_trunc("hour", "t"), "p", 10)
-    assert sorted(map(str, cut.collect())) == sorted(map(str, whole.collect()))
+@pytest.mark.parametrize("buckets", [2, 7, 64])
+def test_running_folds_equal_a_plain_window(spark, buckets):
+    df = skewed(spark, 5).withColumn("x", F.when(F.col("i") % 7 > 0, F.col("i")))
+    folds = {
+        "total": (F.sum, lambda a, b: a + b, F.col("x")),
+        "bits": (F.bit_xor, lambda a, b: a.bitwiseXOR(b), F.xxhash64("i")),
+        "least": (F.min, F.least, F.col("x")),
+    }
+    got = running(df, ["k"], ["t", "i"], folds, buckets)
+    before = Window.partitionBy("k").orderBy("t", "i").rowsBetween(Window.unboundedPreceding, -1)
+    want = df.withColumns(
+        {"total": F.sum("x").over(before), "bits": F.bit_xor(F.xxhash64("i")).over(before), "least": F.min("x").over(before)}
+    )
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+EVEN = {
+    "one group": ("'g'", "timestamp_seconds(id)"),
+    "one minute": ("id % 3", "timestamp_micros(id)"),
+    "one date": ("'g'", "date'2024-01-01'"),
+    "text order": ("'g'", "concat('the same long beginning of every text ', id)"),
+    "many groups": ("id div 2", "id"),
+}
+
+
+@pytest.mark.parametrize("case", EVEN)
+def test_no_bucket_is_far_above_its_share(spark, case):
+    group, order = EVEN[case]
+    df = spark.range(20_000).selectExpr(f"{group} AS g", f"{order} AS o", "id")
+    buckets = bucketed(df, ["g"], ["o", "id"], 16)
+    sizes = [r["n"] for r in buckets.groupBy(BUCKET).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * 20_000 / 16
+    got = row_numbers(df, ["g"], ["o", "id"], "rn", 16)
+    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("o", "id")))
+    assert got.exceptAll(want).isEmpty() and got.count() == 20_000
+
+
+def test_ordering_of_no_rows(spark):
+    df = skewed(spark, 1).where("i < 0")
+    assert row_numbers(df, ["k"], ["t", "i"], "rn").count() == 0
+    assert previous_values(df, ["k"], ["t"], "s", "p").count() == 0
 
 
-@pytest.mark.parametrize("heavy", [10, 10_000])
-def test_segments_are_full_and_ordered(spark, heavy):
+@pytest.mark.parametrize("buckets", [4, 40])
+def test_segments_are_full_and_ordered(spark, buckets):
     df = assign_chunk(skewed(spark, 9).withColumnRenamed("t", TIME), "DAY")
-    got = assign_segment(df, ["i"], max_rows=50, heavy_rows=heavy)
+    got = assign_segment(df, ["i"], max_rows=50, buckets=buckets)
     sizes = got.groupBy(CHUNK, SEGMENT).agg(F.count(F.lit(1)).alias("n"), F.min(TIME).alias("a"), F.max(TIME).alias("b")).collect()
     for chunk in {r[CHUNK] for r in sizes}:
         parts = sorted((r for r in sizes if r[CHUNK] == chunk), key=lambda r: r[SEGMENT])

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import grain_length, period
-from tidemark.operators.ordering import HEAVY_ROWS, row_number_in_runs
+from tidemark.operators.ordering import row_numbers
 from tidemark.operators.rollup import merge_rollup, rollup
 from tidemark.operators.shape import assign_chunk, truncate_time
 from tidemark.spec import CHUNK, MAX_ROWS_PER_SEGMENT, SEGMENT, TIME, Metric
@@ -58,20 +58,14 @@ def compact(
 
 
 def assign_segment(
-    df: DataFrame,
-    order: Iterable[str],
-    max_rows: int = MAX_ROWS_PER_SEGMENT,
-    coarse: Column | None = None,
-    heavy_rows: int = HEAVY_ROWS,
+    df: DataFrame, order: Iterable[str], max_rows: int = MAX_ROWS_PER_SEGMENT, buckets: int | None = None
 ) -> DataFrame:
     """Number the segments of each chunk, each of at most ``max_rows`` rows.
 
-    Rows go in the order of time, then ``order``. Chunks of more than
-    ``heavy_rows`` rows are numbered in runs along ``coarse``, which must not
-    decrease along that order; by default it is the minute of the row.
+    Rows go in the order of time, then ``order``. A chunk of any size is
+    numbered by as many tasks as it has buckets, see ``ordering``.
     """
-    coarse = F.date_trunc("minute", F.col(TIME)) if coarse is None else coarse
-    numbered = row_number_in_runs(df, [CHUNK], [TIME, *order], coarse, "__rn", heavy_rows)
+    numbered = row_numbers(df, [CHUNK], [TIME, *order], "__rn", buckets)
     return numbered.withColumn(SEGMENT, F.expr(f"(__rn - 1) div {int(max_rows)}")).drop("__rn")
 
 

@@ -1,103 +1,147 @@
-"""Row numbers and predecessors in large, unevenly sized groups.
+"""Row numbers, predecessors and running values in groups of any size.
 
-A plain window puts a whole group into one task. That is right for most
-groups, so the heavy ones are found first, by a count per group. Only they are
-cut into runs by a *coarse* column, one that never decreases along the order (a
-day for a time, a quotient for a number). A task then sorts one run, and what
-crosses runs, a count or a last value, is one small row per run.
+A plain window puts a whole group into one task. Here the rows are dealt to
+buckets along (group, order) first, so that a group of any size is many
+buckets and many small groups are one. What crosses buckets, a count or a last
+value, is carried by a second, small scan over one row per bucket and group.
+
+The bounds of the buckets are quantiles of a sample of the distinct keys,
+taken by hash: tasks merge their samples, equal keys count once, and the same
+rows give the same bounds again when a lost task is rerun. Nothing depends on
+the kind of the order column or on the size of a group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A group of up to this many rows stays whole.
-HEAVY_ROWS = 2_000_000
-
-# No more heavy groups than this are named one by one; beyond, all groups are cut.
-MAX_NAMED = 100_000
-
-_RUN = "__run"
-_HEAVY = "__heavy"
-_REAL = "__real"
-_SIDE = "__side"
-
-
-def _cut(df: DataFrame, group: list[str], coarse: Column, heavy_rows: int) -> DataFrame | None:
-    """Rows with their run, or nothing if no group is heavy."""
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
-    heavy = sizes.where(F.col("__n") > heavy_rows).select(*group).limit(MAX_NAMED + 1).collect()
-    if not heavy:
-        return None
-    if len(heavy) > MAX_NAMED:
-        marked = df.withColumn(_HEAVY, F.lit(True))
-    else:
-        named = df.sparkSession.createDataFrame(heavy, df.select(*group).schema)
-        named = named.select(*[F.col(g).alias(f"{_HEAVY}_{i}") for i, g in enumerate(group)], F.lit(True).alias(_HEAVY))
-        match = F.lit(True)
-        for i, g in enumerate(group):
-            match = match & df[g].eqNullSafe(named[f"{_HEAVY}_{i}"])
-        marked = df.join(F.broadcast(named), match, "left").drop(*[f"{_HEAVY}_{i}" for i in range(len(group))])
-    return marked.withColumn(_RUN, F.when(F.col(_HEAVY), coarse))
-
-
-def _with_side(rows: DataFrame, side: DataFrame) -> DataFrame:
-    """Put one more row in front of each run that has something to carry.
-
-    A union needs no join: rows and carried rows meet in the one shuffle of
-    the window that follows.
+BUCKET = "__bucket"
+
+# Sampled keys per bucket: bucket sizes then differ from their mean by about a sixth.
+SAMPLE_PER_BUCKET = 32
+
+_SPAN = 1 << 31
+
+
+def bucket_count(df: DataFrame) -> int:
+    """Twice the session's shuffle partitions, which are set for the size of the data."""
+    return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _key(columns: Iterable[str]) -> Column:
+    return F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(columns)])
+
+
+def _bounds(df: DataFrame, key: Column, buckets: int) -> Column:
+    """The smallest keys of all buckets but the first, as one scalar array."""
+    rows = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    share = F.floor(F.lit(float(SAMPLE_PER_BUCKET * buckets * _SPAN)) / F.greatest(rows, F.lit(1)))
+    sample = df.select(key.alias("k")).where(F.pmod(F.xxhash64("k"), F.lit(_SPAN)) < share)
+    found = sample.agg(F.sort_array(F.collect_set("k")).alias("s"))
+    place = lambda i: F.floor(i * F.size("s") / buckets).cast("int")
+    picked = F.transform(F.sequence(F.lit(1), F.lit(buckets - 1)), lambda i: F.get("s", place(i)))
+    return found.select(F.when(F.size("s") > 0, picked).alias("b")).scalar()
+
+
+def bucketed(df: DataFrame, group: Iterable[str], order: Iterable[str], buckets: int | None = None, out: str = BUCKET) -> DataFrame:
+    """Rows with a bucket number that never falls along ``group``, then ``order``.
+
+    A bucket holds about an equal share of the distinct keys; rows of one key
+    are in one bucket. Lazy: the bounds are a scalar subquery of the plan, of
+    at most ``buckets`` keys.
     """
-    return rows.withColumn(_REAL, F.lit(True)).unionByName(
-        side.withColumn(_REAL, F.lit(False)), allowMissingColumns=True
-    )
+    columns = [*group, *order]
+    buckets = max(2, buckets or bucket_count(df))
+    key = _key(columns)
+    halves = F.sequence(F.lit(1), F.lit(buckets.bit_length()))
+
+    def halved(s: Column, _: Column) -> Column:
+        mid = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        after = F.get("__bounds", mid) <= F.col("__key")
+        open_ = s["low"] < s["high"]
+        return F.struct(
+            F.when(open_ & after, mid + 1).otherwise(s["low"]).alias("low"),
+            F.when(open_ & ~after, mid).otherwise(s["high"]).alias("high"),
+        )
+
+    start = F.struct(F.lit(0).alias("low"), F.coalesce(F.size("__bounds"), F.lit(0)).alias("high"))
+    searched = F.aggregate(halves, start, halved, lambda s: s["low"])
+    keyed = df.withColumns({"__key": key, "__bounds": _bounds(df, key, buckets)})
+    return keyed.withColumn(out, searched).drop("__key", "__bounds")
+
+
+def _carried(rows: DataFrame, group: list[str], parts: dict[str, tuple[Column, Callable[[str], Column]]]) -> DataFrame:
+    """For each group and bucket that goes on from an earlier bucket: what the earlier ones fold to.
+
+    ``parts`` names the partial aggregate of a bucket and the fold of partials.
+    A bucket can go on with one group only, so there are fewer rows than buckets.
+    """
+    before = Window.partitionBy(*group).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    partials = rows.groupBy(*group, BUCKET).agg(*[part.alias(f"__part_{n}") for n, (part, _) in parts.items()])
+    return partials.select(
+        *[F.col(f"`{g}`").alias(f"__g{i}") for i, g in enumerate(group)],
+        F.col(BUCKET).alias("__b"),
+        F.count("*").over(before).alias("__n"),
+        *[fold(f"__part_{n}").over(before).alias(f"__carry_{n}") for n, (_, fold) in parts.items()],
+    ).where(F.col("__n") > 0).drop("__n")
 
 
-def row_number_in_runs(
-    df: DataFrame,
-    group: Iterable[str],
-    order: Iterable[str],
-    coarse: Column,
-    out: str,
-    heavy_rows: int = HEAVY_ROWS,
-) -> DataFrame:
+def _with_carry(rows: DataFrame, group: list[str], carried: DataFrame) -> DataFrame:
+    match = rows[BUCKET] == carried["__b"]
+    for i, g in enumerate(group):
+        match = match & rows[f"`{g}`"].eqNullSafe(carried[f"__g{i}"])
+    return rows.join(F.broadcast(carried), match, "left").drop("__b", *[f"__g{i}" for i in range(len(group))])
+
+
+def row_numbers(df: DataFrame, group: Iterable[str], order: Iterable[str], out: str, buckets: int | None = None) -> DataFrame:
     """``row_number`` of each row in its group, counted from 1."""
     group, order = list(group), list(order)
-    rows = _cut(df, group, coarse, heavy_rows)
-    if rows is None:
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("bigint"))
-    keys = [*group, _RUN]
-    before = Window.partitionBy(*group).orderBy(_RUN).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.where(_HEAVY).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    # the carried row is numbered too, hence one less
-    starts = sizes.select(*keys, (F.coalesce(F.sum("__n").over(before), F.lit(0)) - 1).alias(_SIDE))
-    inside = Window.partitionBy(*keys).orderBy(_REAL, *order)
-    start = F.coalesce(F.sum(_SIDE).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
-    number = start + F.row_number().over(inside)
-    return _with_side(rows, starts).withColumn(out, number).where(_REAL).select(*df.columns, out)
-
-
-def previous_in_runs(
-    df: DataFrame,
-    key: Iterable[str],
-    order: Iterable[str],
-    value: str,
-    coarse: Column,
-    out: str,
-    heavy_rows: int = HEAVY_ROWS,
+    rows = bucketed(df, group, order, buckets)
+    carried = _carried(rows, group, {"n": (F.count(F.lit(1)), F.sum)})
+    inside = Window.partitionBy(BUCKET, *group).orderBy(*order)
+    number = F.coalesce("__carry_n", F.lit(0)) + F.row_number().over(inside)
+    return _with_carry(rows, group, carried).withColumn(out, number).select(*df.columns, out)
+
+
+def previous_values(
+    df: DataFrame, key: Iterable[str], order: Iterable[str], value: str, out: str, buckets: int | None = None
 ) -> DataFrame:
     """The value of the row before, as ``struct<value>``; null on a key's first row."""
     key, order = list(key), list(order)
     boxed = F.struct(F.col(value).alias("value"))
-    rows = _cut(df, key, coarse, heavy_rows)
-    if rows is None:
-        return df.withColumn(out, F.lag(boxed).over(Window.partitionBy(*key).orderBy(*order)))
-    keys = [*key, _RUN]
-    lasts = rows.where(_HEAVY).groupBy(*keys).agg(F.max_by(boxed, F.struct(*order)).alias("__last"))
-    along = Window.partitionBy(*key).orderBy(_RUN)
-    carried = lasts.select(*keys, F.lag("__last").over(along).alias(_SIDE)).where(F.col(_SIDE).isNotNull())
-    inside = Window.partitionBy(*keys).orderBy(_REAL, *order)
-    own = F.when(F.col(_REAL), boxed).otherwise(F.col(_SIDE))
-    return _with_side(rows, carried).withColumn(out, F.lag(own).over(inside)).where(_REAL).select(*df.columns, out)
+    rows = bucketed(df, key, order, buckets)
+    carried = _carried(rows, key, {"last": (F.max_by(boxed, _key(order)), F.last)})
+    inside = Window.partitionBy(BUCKET, *key).orderBy(*order)
+    before = F.coalesce(F.lag(boxed).over(inside), F.col("__carry_last"))
+    return _with_carry(rows, key, carried).withColumn(out, before).select(*df.columns, out)
+
+
+def running(
+    df: DataFrame,
+    group: Iterable[str],
+    order: Iterable[str],
+    folds: dict[str, tuple[Callable[[str], Column], Callable[[Column, Column], Column], Column]],
+    buckets: int | None = None,
+) -> DataFrame:
+    """Folds of all rows before a row in its group, the row itself left out; null on a group's first row.
+
+    ``folds`` names, for each new column, an aggregate that can fold its own
+    results (``sum``, ``min``, ``bit_xor``), what joins two of its results, and
+    its input. ``order`` must be unique within a group.
+    """
+    group, order = list(group), list(order)
+    rows = bucketed(df.withColumns({f"__in_{n}": value for n, (_, _, value) in folds.items()}), group, order, buckets)
+    carried = _carried(rows, group, {n: (fold(f"__in_{n}"), fold) for n, (fold, _, _) in folds.items()})
+    inside = Window.partitionBy(BUCKET, *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    held = _with_carry(rows, group, carried)
+    held = held.withColumns({f"__own_{n}": fold(f"__in_{n}").over(inside) for n, (fold, _, _) in folds.items()})
+    joined = {
+        n: F.when(F.col(f"__own_{n}").isNull(), F.col(f"__carry_{n}"))
+        .when(F.col(f"__carry_{n}").isNull(), F.col(f"__own_{n}"))
+        .otherwise(join(F.col(f"__carry_{n}"), F.col(f"__own_{n}")))
+        for n, (_, join, _) in folds.items()
+    }
+    return held.withColumns(joined).select(*df.columns, *folds)

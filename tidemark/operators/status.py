@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordering import HEAVY_ROWS, previous_in_runs
+from tidemark.operators.ordering import previous_values
 
 READY, NOT_READY = "ready", "error"
 ALL_MEMBERS = "All"
@@ -76,35 +76,21 @@ def rollout_progress(df: DataFrame) -> DataFrame:
     return df.withColumn("done", F.coalesce(done, F.lit(False))).withColumn("error", F.when(failed, first["reason"]))
 
 
-def coarse_of(df: DataFrame, column: str) -> Column:
-    """A default cut of an order column: the minute of a time, 2^16 steps of a number."""
-    kind = dict(df.dtypes)[column]
-    if kind.startswith("timestamp"):
-        return F.date_trunc("minute", F.col(column))
-    if kind in ("tinyint", "smallint", "int", "bigint"):
-        return F.shiftright(F.col(column), 16)
-    if kind == "date":
-        return F.col(column)
-    raise ValueError(f"give a coarse column for an order by {kind}")
-
-
 def status_changes(
     df: DataFrame,
     key: str | Iterable[str],
     order: Iterable[str],
     status: str,
-    coarse: Column | None = None,
-    heavy_rows: int = HEAVY_ROWS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Rows whose status differs from the row before of the same key.
 
     Adds ``previous`` and ``is_first``; a key's first row is a change. ``order`` must be unique within a key.
-    Keys of more than ``heavy_rows`` rows are cut along ``coarse``, see ``ordering``.
+    A key of any number of rows is read by as many tasks as it has buckets, see ``ordering``.
     """
     key = [key] if isinstance(key, str) else list(key)
     order = list(order)
-    coarse = coarse_of(df, order[0]) if coarse is None else coarse
-    seen = previous_in_runs(df, key, order, status, coarse, "__prev", heavy_rows)
+    seen = previous_values(df, key, order, status, "__prev", buckets)
     changed = F.col("__prev").isNull() | ~F.col("__prev.value").eqNullSafe(F.col(status))
     return (
         seen.where(changed)

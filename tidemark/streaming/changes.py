@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -31,7 +31,6 @@ def stream_status_changes(
     status: str,
     sink: str,
     checkpoint: str,
-    coarse: Column | None = None,
     trigger: Mapping | None = None,
 ) -> StreamingQuery:
     """Write changes to ``sink/changes`` and the last status per key to ``sink/state``.
@@ -45,7 +44,7 @@ def stream_status_changes(
     def write_step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         last = latest_state(batch.select(*key, *order, status), key, order).select(*key, status)
-        changes = status_changes(batch, key, order, status, coarse)
+        changes = status_changes(batch, key, order, status)
         if number > 0:
             kept = spark.read.parquet(f"{sink}/state/{BATCH}={number - 1}").withColumnRenamed(status, "__kept")
             held = changes.join(kept.withColumn("__known", F.lit(True)), key, "left")
