@@ -53,24 +53,16 @@ def bucketed(df: DataFrame, group: Iterable[str], order: Iterable[str], buckets:
     are in one bucket. Lazy: the bounds are a scalar subquery of the plan, of
     at most ``buckets`` keys.
     """
-    columns = [*group, *order]
+    key = _key([*group, *order])
     buckets = max(2, buckets or bucket_count(df))
-    key = _key(columns)
-    halves = F.sequence(F.lit(1), F.lit(buckets.bit_length()))
-
-    def halved(s: Column, _: Column) -> Column:
-        mid = F.floor((s["low"] + s["high"]) / 2).cast("int")
-        after = F.get("__bounds", mid) <= F.col("__key")
-        open_ = s["low"] < s["high"]
-        return F.struct(
-            F.when(open_ & after, mid + 1).otherwise(s["low"]).alias("low"),
-            F.when(open_ & ~after, mid).otherwise(s["high"]).alias("high"),
-        )
-
-    start = F.struct(F.lit(0).alias("low"), F.coalesce(F.size("__bounds"), F.lit(0)).alias("high"))
-    searched = F.aggregate(halves, start, halved, lambda s: s["low"])
-    keyed = df.withColumns({"__key": key, "__bounds": _bounds(df, key, buckets)})
-    return keyed.withColumn(out, searched).drop("__key", "__bounds")
+    rows = df.withColumns({"__key": key, "__bounds": _bounds(df, key, buckets), out: F.lit(0)})
+    # a binary search, one step a projection, so that generated code does it
+    step = 1 << (buckets - 1).bit_length() - 1
+    while step:
+        after = F.get("__bounds", F.col(out) + F.lit(step - 1)) <= F.col("__key")
+        rows = rows.withColumn(out, F.when(after, F.col(out) + F.lit(step)).otherwise(F.col(out)))
+        step //= 2
+    return rows.drop("__key", "__bounds")
 
 
 def _carried(rows: DataFrame, group: list[str], parts: dict[str, tuple[Column, Callable[[str], Column]]]) -> DataFrame:
