@@ -37,6 +37,14 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for CRC-32 of an ASCII text, bit by bit."""
+    step = "lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END"
+    byte = f"lambda a, x: list_reduce(list_prepend(xor(a, x), range(8)::UBIGINT[]), {step})"
+    codes = f"list_transform(range(1, len({text}) + 1), lambda i: ascii(({text})[i])::UBIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {codes}), {byte}), 4294967295::UBIGINT)"
+
+
 def text_key() -> dict[str, Column]:
     """128 bits that tell texts apart, so that rows that share a doc_id, or have none, are told apart by them."""
     return {"h": F.xxhash64("text"), "g": F.xxhash64("text", F.lit("text"))}

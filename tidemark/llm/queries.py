@@ -7,6 +7,7 @@ from tidemark.llm import (
     lm_scoring,
     mixing,
     pii,
+    prefix_trie,
     quality_rules,
     simhash_trie,
     substring_dedup,
@@ -23,6 +24,7 @@ __all__ = [
     "lm_scoring",
     "mixing",
     "pii",
+    "prefix_trie",
     "quality_rules",
     "simhash_trie",
     "substring_dedup",
