@@ -11,6 +11,8 @@ from tidemark.llm import (
     quality_rules,
     simhash_trie,
     substring_dedup,
+    topk_search,
+    turn_repair,
     warc,
 )
 from tidemark.llm.common import ORACLES, QUERIES
@@ -28,5 +30,7 @@ __all__ = [
     "quality_rules",
     "simhash_trie",
     "substring_dedup",
+    "topk_search",
+    "turn_repair",
     "warc",
 ]
