@@ -463,13 +463,17 @@ WITH RECURSIVE k AS (
         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
     FROM k JOIN range(2) c(copy) ON kind <> 0 AND (copy = 0 OR kind = 3)
 ), o AS (
-    SELECT *, row_number() OVER w AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again,
-        regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS ending, left(role, 1) AS initial
+    SELECT *, row_number() OVER w AS i,
+        regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) AS ending, left(role, 1) AS initial
     FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text))
+), p AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again FROM o
 ), f AS (
     SELECT *, CASE WHEN ending = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN ending NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS kind,
         lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair
-    FROM o
+    FROM p
 ), r AS (
     SELECT *, kind IN ('blank', 'duplicate') AS gone, CASE kind WHEN 'truncated' THEN 5 ELSE 0 END AS fault FROM f
 ), best AS (
