@@ -63,7 +63,7 @@ def test_query_agrees_with_sql(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", ["op2_quality_rules", "op3_mixing", "op4_chat_format", "op7_pii", "op10_line_dedup"])

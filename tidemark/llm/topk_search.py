@@ -36,10 +36,10 @@ FOUND_TYPE = "query_row long, query_id long, vec_id long, score long"
 
 def whole_numbers(vectors: DataFrame) -> DataFrame:
     """``vec_id, v`` with components floor(256 * x); vectors that are null or hold null, non-finite or huge components are left out."""
-    x = F.col("embedding").cast("array<double>")
-    sound = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) <= LARGEST))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * SCALE).cast("double")).alias("v"))
-    return rows.where(F.col("v").isNotNull() & sound).select("vec_id", F.col("v").cast("array<int>").alias("v"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"))
+    sound = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) * SCALE <= LARGEST))
+    whole = F.transform("x", lambda c: F.floor(c * SCALE).cast("int"))
+    return rows.where(F.col("x").isNotNull() & sound).select("vec_id", whole.alias("v"))
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
