@@ -187,14 +187,19 @@ def test_retention_filters_on_the_chunk_alone(spark):
     assert apply_retention(df, [Rule("drop", interval="2024-01-02/2024-01-03")], "2024-02-01", "DAY").count() == 48
 
 
-@pytest.mark.parametrize("max_rows", [2, 1000])
-def test_lookup_joins_the_same_with_and_without_broadcast(spark, max_rows):
+@pytest.mark.parametrize("threshold", [-1, 10_000_000])
+def test_lookup_joins_the_same_with_and_without_broadcast(spark, threshold):
     fact = spark.range(100).select((F.col("id") % 7).alias("k"))
     lookup = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
-    joined = broadcast_lookup(fact, lookup, "k", max_rows=max_rows)
-    assert joined.count() == sum(1 for i in range(100) if i % 7 < 5)
-    hinted = "rightHint=(strategy=broadcast" in joined._jdf.queryExecution().optimizedPlan().toString()
-    assert hinted == (max_rows == 1000)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        joined = broadcast_lookup(fact, lookup, "k")
+        assert joined.count() == sum(1 for i in range(100) if i % 7 < 5)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastHashJoin" in plan) == (threshold > 0)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_maintenance_never_overwrites_its_input(spark, folder):

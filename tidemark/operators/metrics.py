@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,16 +14,22 @@ from tidemark.functions.times import truncated
 
 TIMER_SHARES = (0.5, 0.95, 0.99)
 
-# The definitions come from the driver, so their number is known before any job.
-MAX_BROADCAST_DEFINITIONS = 100_000
+DEFINITION = pa.schema(
+    [("metric", pa.string()), ("dimensions", pa.list_(pa.string())), ("type", pa.string()), ("convertRange", pa.bool_())]
+)
 
 
 def metric_definitions(spark: SparkSession, doc: str | Mapping) -> DataFrame:
-    """The definition document as rows ``metric, dimensions, type, convertRange``."""
+    """The definition document as rows ``metric, dimensions, type, convertRange``.
+
+    They come as an Arrow table, whose size Spark knows, so it sends them to every worker by its own threshold.
+    """
     parsed = json.loads(doc) if isinstance(doc, str) else doc
-    rows = [(n, list(d["dimensions"]), d["type"], bool(d.get("convertRange", False))) for n, d in parsed.items()]
-    defs = spark.createDataFrame(rows, "metric string, dimensions array<string>, type string, convertRange boolean")
-    return F.broadcast(defs) if len(rows) <= MAX_BROADCAST_DEFINITIONS else defs
+    rows = [
+        {"metric": n, "dimensions": list(d["dimensions"]), "type": d["type"], "convertRange": bool(d.get("convertRange", False))}
+        for n, d in parsed.items()
+    ]
+    return spark.createDataFrame(pa.Table.from_pylist(rows, DEFINITION))
 
 
 def conform_metrics(df: DataFrame, defs: DataFrame) -> DataFrame:

@@ -44,10 +44,11 @@ def rule_matches(rule: Rule, start: Column, end: Column, as_of: str) -> Column:
 
 
 def _chain(
-    rules: Sequence[Rule], grain: str, as_of: str, value: Callable[[int, Rule], Column], other: Column
+    rules: Sequence[Rule], grain: str | Column, as_of: str, value: Callable[[int, Rule], Column], other: Column
 ) -> Column:
+    """The first match's value. ``grain`` is the length of all chunks, or a column with the end of each."""
     start = F.col(CHUNK)
-    end = start + grain_length(grain)
+    end = start + grain_length(grain) if isinstance(grain, str) else grain
     # built from the last rule outwards, so that the first match decides
     decision = other
     for i in reversed(range(len(rules))):
@@ -55,11 +56,11 @@ def _chain(
     return decision
 
 
-def decided_action(rules: Sequence[Rule], grain: str, as_of: str) -> Column:
+def decided_action(rules: Sequence[Rule], grain: str | Column, as_of: str) -> Column:
     return _chain(rules, grain, as_of, lambda _, r: F.lit(ACTIONS[r.type]), F.lit(KEEP))
 
 
-def assign_rules(chunks: DataFrame, rules: Sequence[Rule], as_of: str, grain: str) -> DataFrame:
+def assign_rules(chunks: DataFrame, rules: Sequence[Rule], as_of: str, grain: str | Column) -> DataFrame:
     """Add the deciding rule's place, type and action; no match is ``keep``."""
     return chunks.select(
         "*",
@@ -69,7 +70,7 @@ def assign_rules(chunks: DataFrame, rules: Sequence[Rule], as_of: str, grain: st
     )
 
 
-def assign_tiers(chunks: DataFrame, rules: Sequence[Rule], as_of: str, grain: str) -> DataFrame:
+def assign_tiers(chunks: DataFrame, rules: Sequence[Rule], as_of: str, grain: str | Column) -> DataFrame:
     """One row per chunk, tier and replica count, for chunks that a rule loads."""
 
     def tiers(_: int, rule: Rule) -> Column:
@@ -81,37 +82,21 @@ def assign_tiers(chunks: DataFrame, rules: Sequence[Rule], as_of: str, grain: st
     return chunks.select("*", F.explode(placed).alias("tier", "replicas"))
 
 
-def apply_retention(df: DataFrame, rules: Sequence[Rule], as_of: str, grain: str) -> DataFrame:
+def apply_retention(df: DataFrame, rules: Sequence[Rule], as_of: str, grain: str | Column) -> DataFrame:
     """Only rows of chunks that no rule drops."""
     return df.where(decided_action(rules, grain, as_of) != "drop")
 
 
-def broadcast_chunks(df: DataFrame, rules: Sequence[Rule], as_of: str, grain: str) -> DataFrame:
+def broadcast_chunks(df: DataFrame, rules: Sequence[Rule], as_of: str, grain: str | Column) -> DataFrame:
     """Only rows of chunks that a rule wants on every worker."""
     return df.where(decided_action(rules, grain, as_of) == "broadcast")
 
 
-def broadcast_lookup(
-    fact: DataFrame,
-    lookup: DataFrame,
-    on: str | Iterable[str],
-    how: str = "inner",
-    max_rows: int = 2_000_000,
-    max_bytes: int = 256 * 1024 * 1024,
-) -> DataFrame:
+def broadcast_lookup(fact: DataFrame, lookup: DataFrame, on: str | Iterable[str], how: str = "inner") -> DataFrame:
     """Join a lookup that is sent to every worker while it is small.
 
-    Its rows and bytes are counted first, over no more than ``max_rows`` + 1
-    rows. A larger lookup is joined by shuffle, where AQE splits hot keys.
+    AQE knows the lookup's size once it is read: below the session's broadcast
+    threshold it is sent out, beyond it both sides are shuffled and hot keys split.
     """
-    size = (
-        lookup.limit(max_rows + 1)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("b"),
-        )
-        .first()
-    )
-    small = size["n"] <= max_rows and size["b"] <= max_bytes
     keys = [on] if isinstance(on, str) else list(on)
-    return fact.join(F.broadcast(lookup) if small else lookup, keys, how)
+    return fact.join(lookup, keys, how)

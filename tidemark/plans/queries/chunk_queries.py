@@ -13,11 +13,12 @@ from tidemark.operators.retention import (
     broadcast_chunks,
     broadcast_lookup,
 )
-from tidemark.operators.rollup import rollup
+from tidemark.operators.rollup import merge_rollup, rollup
 from tidemark.operators.shape import assign_chunk
-from tidemark.plans.maintain import compact_datasource, retain_datasource
+from tidemark.plans.maintain import compact_datasource, compact_table, retain_datasource, retain_table
 from tidemark.plans.queries.base import SQL_METRICS, VALUE_METRICS, events, query, table
 from tidemark.session import shared_folder
+from tidemark.sources.snapshots import END, read_snapshot, write_snapshot
 from tidemark.sources.tables import read_datasource, write_datasource
 from tidemark.spec import CHUNK, TIME, Rule
 
@@ -121,6 +122,95 @@ def maintained_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_datasource(spark, root, "months")
 
 
+def day_table(spark: SparkSession, sf_dir: str) -> str:
+    """A table of day chunks, written in two commits: users by even and by odd number."""
+    root = shared_folder(spark, "snapshots")
+    for rest, mode in ((0, "whole"), (1, "append")):
+        rows = rollup(events(spark, sf_dir).where(F.col("user_id") % 2 == rest), ["event_type"], VALUE_METRICS, "HOUR")
+        write_snapshot(assign_chunk(rows, "DAY"), root, "events", "DAY", mode)
+    return root
+
+
+@query(
+    "compact_twice",
+    f"""SELECT date_trunc('day', ts) AS __time, date_trunc('week', ts) AS __chunk, date_trunc('week', ts) + INTERVAL 7 DAY AS __end,
+               event_type, {SQL_METRICS}, true AS second_is_idle FROM events GROUP BY ALL""",
+)
+def compact_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second compaction finds nothing to do and makes no version."""
+    root = day_table(spark, sf_dir)
+    compact_table(spark, root, "events", "WEEK", ["event_type"], VALUE_METRICS, "DAY")
+    again = compact_table(spark, root, "events", "WEEK", ["event_type"], VALUE_METRICS, "DAY")
+    return read_snapshot(spark, root, "events").withColumn("second_is_idle", F.lit(again is None))
+
+
+_SETTLED = """(date_trunc('week', ts) + INTERVAL 7 DAY <=
+               (SELECT max(date_trunc('day', ts)) + INTERVAL 1 DAY - INTERVAL 1 DAY FROM events))"""
+
+
+@query(
+    "rules_mixed",
+    f"""WITH e AS (SELECT *, {_SETTLED} AS done FROM events),
+             g AS (SELECT CASE WHEN done THEN date_trunc('week', ts) ELSE date_trunc('day', ts) END AS __chunk,
+                          date_trunc('hour', ts) AS __time, done, event_type, {SQL_METRICS} FROM e GROUP BY 1, 2, 3, 4),
+             c AS (SELECT *, __chunk + CASE WHEN done THEN INTERVAL 7 DAY ELSE INTERVAL 1 DAY END AS __end FROM g)
+        SELECT * EXCLUDE done FROM c WHERE NOT (__chunk >= TIMESTAMP '2024-01-08' AND __end <= TIMESTAMP '2024-01-17')
+          AND NOT (__chunk >= TIMESTAMP '2024-01-30' AND __end <= TIMESTAMP '2024-01-31')""",
+)
+def rules_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Week chunks beside day chunks: a rule that ends within a week drops the weeks before, not that one."""
+    root = day_table(spark, sf_dir)
+    compact_table(spark, root, "events", "WEEK", ["event_type"], VALUE_METRICS, "HOUR", skip_offset="P1D")
+    rules = [Rule("drop", interval="2024-01-08/2024-01-17"), Rule("dropByPeriod", period="P1D")]
+    retain_table(spark, root, "events", rules, AS_OF)
+    return merge_rollup(read_snapshot(spark, root, "events"), ["event_type", CHUNK, END], VALUE_METRICS, "HOUR")
+
+
+@query(
+    "retain_twice",
+    f"""SELECT date_trunc('hour', ts) AS __time, date_trunc('day', ts) AS __chunk, event_type, {SQL_METRICS} FROM events
+        WHERE ts < TIMESTAMP '2024-01-24' GROUP BY ALL""",
+)
+def retain_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that come back between two runs are dropped again; a stricter rule then drops more."""
+    root = day_table(spark, sf_dir)
+    for days in ("P3D", "P7D"):
+        retain_table(spark, root, "events", [Rule("dropByPeriod", period=days)], AS_OF)
+        late = rollup(events(spark, sf_dir).where(F.col(TIME) >= "2024-01-30"), ["event_type"], VALUE_METRICS, "HOUR")
+        write_snapshot(assign_chunk(late, "DAY"), root, "events", "DAY", "append")
+    retain_table(spark, root, "events", [Rule("dropByPeriod", period="P7D")], AS_OF)
+    rows = read_snapshot(spark, root, "events").drop(END)
+    return compact(rows, "DAY", ["event_type"], VALUE_METRICS, "HOUR")
+
+
+@query(
+    "month_read",
+    """SELECT event_id, ts AS __time, date_trunc('month', ts) AS __chunk, date_trunc('month', ts) + INTERVAL 1 MONTH AS __end
+       FROM events WHERE (ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-11') OR ts >= TIMESTAMP '2024-01-20 06:00:00'""",
+)
+def month_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals inside month chunks, found by the chunks' own ends."""
+    root = shared_folder(spark, "snapshots")
+    rows = assign_chunk(events(spark, sf_dir).select("event_id", TIME), "MONTH")
+    write_snapshot(rows, root, "months", "MONTH")
+    return read_snapshot(spark, root, "months", ["2024-01-10/2024-01-11", "2024-01-20T06:00/2030-01-01"])
+
+
+@query(
+    "replace_part",
+    f"""SELECT event_id, ts AS __time, CASE WHEN hour(ts) = 5 AND day(ts) < 9 THEN date_trunc('hour', ts) ELSE date_trunc('day', ts) END AS __chunk,
+               CASE WHEN hour(ts) = 5 AND day(ts) < 9 THEN -value ELSE value END AS value FROM events""",
+)
+def replace_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours written anew over day chunks hide that hour of the day and nothing else."""
+    root = shared_folder(spark, "snapshots")
+    rows = events(spark, sf_dir).select("event_id", TIME, "value")
+    write_snapshot(assign_chunk(rows, "DAY"), root, "days", "DAY")
+    fifth = rows.where((F.hour(TIME) == 5) & (F.day(TIME) < 9)).withColumn("value", -F.col("value"))
+    write_snapshot(assign_chunk(fifth, "HOUR"), root, "days", "HOUR")
+    return read_snapshot(spark, root, "days").drop(END)
+
+
 _DAY_CHUNKS = "SELECT date_trunc('day', ts) AS __chunk, count(*) AS rows FROM events GROUP BY ALL"
 _ACTION = """CASE WHEN __chunk >= TIMESTAMP '2024-01-03' AND __chunk + INTERVAL 1 DAY <= TIMESTAMP '2024-01-05' THEN 0
                   WHEN __chunk + INTERVAL 1 DAY > TIMESTAMP '2024-01-29' THEN 1
