@@ -1,5 +1,7 @@
 import os
 import shutil
+import time
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import pytest
@@ -11,7 +13,9 @@ from tidemark.plans.ingest import DIMS, expand_dimensions
 from tidemark.sources.streams import read_stream
 from tidemark.spec import TIME, IngestSpec, Metric
 from tidemark.streaming.changes import read_changes, stream_status_changes
-from tidemark.streaming.ingest import drop_duplicates, read_stream_table, read_windows, stream_ingest, stream_rollup
+from tidemark.streaming import levels
+from tidemark.streaming.dedupe import read_late, read_unique, stream_dedupe
+from tidemark.streaming.ingest import publish, read_stream_table, read_windows, stream_ingest, stream_rollup
 
 SPEC = IngestSpec(
     data_source="metrics",
@@ -116,21 +120,89 @@ def test_changes_over_batches_equal_one_batch(spark, folder):
     want = status_changes(spark.createDataFrame(rows, SCHEMA), "k", ["t", "i"], "s")
     columns = want.columns
     assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, want.collect()))
-    assert spark.read.parquet(f"{folder}/state/__batch=2").count() == 6
+    state = spark.read.format("statestore").option("stateVarName", "last").load(f"{folder}/check")
+    assert state.count() == 6
+    # the small batch has written its own keys only
+    touched = [p.stateOperators[0].numRowsUpdated for p in run.recentProgress if p.numInputRows]
+    assert touched == [len({r[0] for r in part}) for part in (rows[:90], rows[90:95], rows[95:])]
 
 
-@pytest.mark.parametrize("spread", [True, False])
-def test_duplicates_are_dropped(spark, folder, spread):
+def test_silent_keys_are_forgotten(spark, folder):
     start = datetime(2024, 1, 1)
-    rows = [("k", start + timedelta(seconds=i % 7), i % 7, "s") for i in range(100)]
-    write_states(spark, folder, [rows, rows[:10]])
-    source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(f"{folder}/in")
-    (
-        drop_duplicates(source, ["i"], "P1D", time_col="t", spread=spread)
-        .writeStream.format("parquet")
-        .option("checkpointLocation", f"{folder}/check")
-        .trigger(availableNow=True)
-        .start(f"{folder}/out")
-        .awaitTermination()
+    write_states(spark, folder, [[("a", start, 1, "x"), ("b", start, 2, "x")]])
+    write_states(spark, f"{folder}/later", [[("b", start, 4, "x")]])
+    source = spark.readStream.schema(SCHEMA).json(f"{folder}/in")
+    with pytest.raises(ValueError):
+        stream_status_changes(source, ["k"], ["i"], "s", folder, f"{folder}/check", forget_after="PT1S")
+    query = stream_status_changes(
+        source, ["k"], ["i"], "s", folder, f"{folder}/check", forget_after="PT1S", trigger={"processingTime": "1 second"}
     )
-    assert sorted(r["i"] for r in spark.read.parquet(f"{folder}/out").collect()) == list(range(7))
+
+    def wait_for(rows):
+        for _ in range(60):
+            if os.path.exists(f"{folder}/changes/_spark_metadata/0") and read_changes(spark, folder).count() == rows:
+                return True
+            time.sleep(0.5)
+        return False
+
+    try:
+        assert wait_for(2)
+        time.sleep(2)
+        shutil.copy(f"{folder}/later/in/0.json", f"{folder}/in/later.json")
+        assert wait_for(3)
+        assert all(r.is_first for r in read_changes(spark, folder).collect())
+    finally:
+        query.stop()
+
+
+def deduped(spark, folder, remember="P30D", within="P1D"):
+    source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(f"{folder}/in")
+    stream_dedupe(source, ["k"], folder, f"{folder}/check", within, remember, time_col="t").awaitTermination()
+    return sorted((r.k or "", r.i) for r in read_unique(spark, folder).collect())
+
+
+def test_copies_go_and_late_rows_stay(spark, folder):
+    day = datetime(2024, 1, 20)
+    hot = [("hot", day + timedelta(seconds=i % 7), i % 7, "s") for i in range(300)]
+    first = [*hot, ("a", day, 1, "s"), (None, day, 2, "s"), (None, day, 3, "s"), ("edge", day.replace(hour=23, minute=59), 4, "s")]
+    second = [
+        ("hot", day, 8, "s"),
+        ("new", day - timedelta(days=5), 9, "s"),
+        ("edge", day + timedelta(days=1, minutes=30), 10, "s"),
+        ("a", day + timedelta(days=3), 11, "s"),
+    ]
+    third = [("new", day - timedelta(days=5, hours=3), 12, "s"), ("old", day - timedelta(days=40), 13, "s"), ("none", None, 14, "s")]
+    write_states(spark, folder, [first, second, third])
+    assert deduped(spark, folder) == [("", 2), ("", 3), ("a", 1), ("a", 11), ("edge", 4), ("hot", 0), ("new", 9)]
+    assert sorted(r.i for r in read_late(spark, folder).collect()) == [13, 14]
+
+
+def test_a_repeated_batch_of_copies_adds_nothing(spark, folder):
+    day = datetime(2024, 1, 20)
+    write_states(spark, folder, [[("a", day, 1, "s")], [("a", day, 2, "s"), ("b", day, 3, "s")]])
+    want = deduped(spark, folder)
+    for name in ("1", ".1.crc"):
+        if os.path.exists(f"{folder}/check/commits/{name}"):
+            os.rename(f"{folder}/check/commits/{name}", f"{folder}/lost{name}")
+    assert deduped(spark, folder) == want == [("a", 1), ("b", 3)]
+
+
+def test_folders_and_marks_do_not_grow_with_batches(spark, folder, monkeypatch):
+    monkeypatch.setattr(levels, "FANOUT", 3)
+    rows = lambda i: spark.createDataFrame([(i % 4, i), (9, i)], "k int, v int")
+    newest = lambda d: d.groupBy("k").agg(F.max("v").alias("v"))
+    for i in range(30):
+        levels.add_batch(rows(i), f"{folder}/s", i, newest, {"high": i})
+        if i in (7, 17):  # the batch is tried again after it was listed
+            levels.add_batch(rows(i), f"{folder}/s", i, newest, {"high": i})
+    told = levels.last_list(spark, f"{folder}/s")
+    assert told["marks"] == {"high": 29} and len(told["folders"]) <= 2 * 4
+    assert len([n for n in os.listdir(f"{folder}/s") if n.startswith("level")]) <= 2 * 8
+    assert len([n for n in os.listdir(f"{folder}/s/lists") if n.isdigit()]) <= 2
+    got = newest(levels.read_folders(spark, f"{folder}/s", told["folders"])).collect()
+    assert {r.k: r.v for r in got} == {0: 28, 1: 29, 2: 26, 3: 27, 9: 29}
+
+
+def test_publishing_follows_the_declaration():
+    assert publish(SPEC) == {"availableNow": True}
+    assert publish(replace(SPEC, io={"taskDuration": "PT30M"})) == {"processingTime": "1800 seconds"}

@@ -1,4 +1,4 @@
-"""Streaming ingestion: partial roll-ups per micro-batch, windows, duplicates."""
+"""Streaming ingestion: partial roll-ups per micro-batch, windows."""
 
 from __future__ import annotations
 
@@ -12,26 +12,17 @@ from tidemark.functions.times import period
 from tidemark.operators.rollup import aggregate_of, rollup
 from tidemark.operators.shape import assign_chunk, truncate_time
 from tidemark.plans.ingest import DIMS, build_stream_rows
-from tidemark.sources.streams import period_seconds
+from tidemark.sources.streams import period_seconds, publish_trigger
 from tidemark.sources.tables import table_path, write_datasource
 from tidemark.spec import CHUNK, TIME, IngestSpec, normal_grain
+from tidemark.streaming.levels import add_batch, last_list, read_folders
 
 BATCH = "__batch"
 
 
-def drop_duplicates(
-    rows: DataFrame, key: list[str], within: str = "P1D", time_col: str = TIME, spread: bool = True
-) -> DataFrame:
-    """One row of each event key within a period.
-
-    With ``spread`` copies are first removed per input partition, so that an
-    event repeated very often does not all meet in one task.
-    """
-    marked = rows.withWatermark(time_col, f"{period_seconds(within)} seconds")
-    if spread:
-        part = "__part"
-        marked = marked.withColumn(part, F.spark_partition_id()).dropDuplicatesWithinWatermark([*key, part]).drop(part)
-    return marked.dropDuplicatesWithinWatermark(key)
+def publish(spec: IngestSpec) -> dict:
+    """Micro-batches as often as the declaration's ``taskDuration`` says; without one, all there is and then the end."""
+    return publish_trigger(spec.io) if spec.io.get("taskDuration") else {"availableNow": True}
 
 
 def stream_ingest(
@@ -53,13 +44,12 @@ def stream_ingest(
     marks = f"{checkpoint}/high-time"
 
     def in_time(batch: DataFrame, number: int) -> DataFrame:
-        """Rows no older than the delay before the latest time of earlier batches."""
-        batch.agg(F.max(TIME).alias("high")).write.mode("overwrite").parquet(f"{marks}/{BATCH}={number}")
-        if number == 0:
-            return batch
-        seen = batch.sparkSession.read.parquet(marks).where(F.col(BATCH) < number)
-        high = seen.agg(F.max("high").alias("high")).scalar()
-        return batch.where(F.coalesce(F.col(TIME) >= high - period(late_rejection), F.lit(True)))
+        """Rows no older than the delay before the latest time of earlier batches: one mark, carried from batch to batch."""
+        high = last_list(batch.sparkSession, marks, number)["marks"].get("high")
+        newest = batch.agg(F.max(F.unix_micros(TIME)).alias("high")).first()["high"]
+        latest = max([m for m in (high, newest) if m is not None], default=None)
+        add_batch(None, marks, number, lambda d: d, {"high": latest})
+        return batch if high is None else batch.where(F.col(TIME) >= F.timestamp_micros(F.lit(high)) - period(late_rejection))
 
     def add(batch: DataFrame, number: int) -> None:
         if late_rejection:
@@ -74,7 +64,7 @@ def stream_ingest(
     return (
         rows.writeStream.foreachBatch(add)
         .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
+        .trigger(**(trigger or publish(spec)))
         .start()
     )
 
@@ -93,9 +83,9 @@ def stream_rollup(
 ) -> StreamingQuery:
     """Tumbling windows of the segment granularity, kept up to date in ``sink``.
 
-    Each micro-batch writes the windows it changed; ``read_windows`` gives the
-    newest state of each. With ``late_rejection`` closed windows leave the
-    state store.
+    Each micro-batch adds the windows it changed, and folders of several batches
+    merge to the newest state of each window, which ``read_windows`` gives. With
+    ``late_rejection`` closed windows leave the state store.
     """
     grain = normal_grain(spec.segment_granularity)
     width = {"week": "7 days", "month": None, "quarter": None, "year": None}.get(grain, f"1 {grain}")
@@ -108,20 +98,23 @@ def stream_rollup(
     out = windows.select(F.col("w.start").alias(CHUNK), DIMS, *[m.name for m in spec.metrics])
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink}/{BATCH}={number}")
+        add_batch(batch.withColumn(BATCH, F.lit(number)), sink, number, _newest)
 
     return (
         out.writeStream.outputMode("update")
         .foreachBatch(put)
         .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
+        .trigger(**(trigger or publish(spec)))
         .start()
     )
 
 
+def _newest(windows: DataFrame) -> DataFrame:
+    values = [c for c in windows.columns if c not in (CHUNK, DIMS)]
+    newest = windows.groupBy(CHUNK, DIMS).agg(F.max_by(F.struct(*values), F.col(BATCH)).alias("v"))
+    return newest.select(CHUNK, DIMS, "v.*")
+
+
 def read_windows(spark: SparkSession, sink: str) -> DataFrame:
     """The newest state of every window."""
-    df = spark.read.parquet(sink)
-    values = [c for c in df.columns if c not in (CHUNK, DIMS, BATCH)]
-    newest = df.groupBy(CHUNK, DIMS).agg(F.max_by(F.struct(*values), F.col(BATCH)).alias("v"))
-    return newest.select(CHUNK, DIMS, "v.*")
+    return _newest(read_folders(spark, sink, last_list(spark, sink)["folders"])).drop(BATCH)
