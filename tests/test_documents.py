@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions import documents as D
-from tidemark.functions.documents import canonical_json, content_hash, json_equal, with_ordered_maps
+from tidemark.functions.documents import canonical_json, content_hash, json_equal, row_hash, with_ordered_maps
 from tidemark.operators import documents as O
 
 
@@ -26,10 +26,10 @@ CASES = [
     ("one field of the customer", ORDER % "true", '{"customer":{"name":"ann"}}', True),
     ("customer without phone", ORDER % "true", '{"customer":{"phone":null}}', False),
     ("list in another order", '{"a":[1,2,3]}', '{"a":[3,1]}', True),
-    ("list item missing", '{"a":["1","2"]}', '{"a":["3"]}', False),
+    ("wanted ship mode is not on the order", '{"order":7,"modes":["RAIL","AIR"]}', '{"modes":["TRUCK","AIR"]}', False),
     ("list members are compared whole", '{"a":[{"x":1,"y":2}]}', '{"a":[{"x":1}]}', False),
-    ("invalid", '{"a":"1"', '{"a":"1"}', None),
-    ("invalid desired", '{"a":"1"}', "{", None),
+    ("order cut off in the middle", ORDER[:40], '{"order":7}', None),
+    ("wanted part cut off", ORDER % "true", '{"customer":{"name"', None),
     ("no map", "[1]", '{"a":1}', None),
     ("scalar", '{"a":1}', "1", None),
     ("sql null", None, '{"a":1}', None),
@@ -132,14 +132,17 @@ def test_inclusion_laws(a, b):
 
 def test_resolve_and_datasource(spark):
     good = '{"spec":{"dataSchema":{"dataSource":"pages"}}}'
+    order, customer = '{"lines":[1,2],"order":7}', ' {"segment" : "BUILDING",\n"name":"ann"} '
     rows = [
-        ('{"key":"value"}', None, '{"key":"value"}', None),
-        (None, '{"key": "value"}', '{"key":"value"}', None),
-        (good, '{"other":1}', good, None),
+        (order, customer, order, None),
+        (None, customer, '{"name":"ann","segment":"BUILDING"}', None),
+        ("", order, order, None),
+        (good, None, good, None),
+        ('{"a":1,"b":{"c":1,"c":2},"a":3}', None, '{"a":3,"b":{"c":2}}', None),
         ("", "", None, "no valid ingestion spec provided"),
         (None, None, None, "no valid ingestion spec provided"),
-        (None, '{"key":"value"', None, "error unmarshalling Spec"),
-        ('{"key"', good, None, "error unmarshalling nativeSpec"),
+        (None, customer[:12], None, "error unmarshalling Spec"),
+        (order[:9], good, None, "error unmarshalling nativeSpec"),
         ("[1]", None, None, "error unmarshalling nativeSpec"),
     ]
     df = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(rows)], "i int, native string, text string")
@@ -186,6 +189,10 @@ def test_task_id(spark):
         ("null", None),
         ('{"task":1}', None),
         ("x", None),
+        ('{"ID":"x"}', "x"),
+        ('{"Task":"a","id":"i","TASK":"b"}', "b"),
+        ('{"id":"a","id":"b"}', "b"),
+        ('{"id":"a","ID":2}', None),
     ]
     df = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(rows)], "i int, response string")
     got = O.extract_task_id(df).orderBy("i").collect()
@@ -219,6 +226,7 @@ def test_hash_ignores_the_order_of_map_entries(spark):
         UNION ALL SELECT null, null""")
     hashes = [r[0] for r in df.select(content_hash(*with_ordered_maps(df, ["m", "deep"]))).collect()]
     assert hashes[0] == hashes[1] != hashes[2]
+    assert [r[0] for r in df.select(row_hash(df, df.columns)).collect()] == hashes
 
 
 def test_canonical_and_hash(spark):

@@ -1,14 +1,15 @@
 import gzip
 import json
 import os
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import parse_time
 from tidemark.operators import shape
-from tidemark.operators.rollup import merge_rollup, rollup
+from tidemark.operators.rollup import ingest_audit, merge_rollup, rollup
 from tidemark.plans.ingest import audit_lines, build_lines, ingest
 from tidemark.sources.files import BAD_RECORD, read_json, read_lines, to_object_lines, write_object_lines
 from tidemark.sources.streams import period_seconds, publish_trigger
@@ -245,3 +246,29 @@ def test_values_that_are_no_numbers_count_as_null(spark):
     metrics = [Metric("n", "count"), Metric("s", "doubleSum", "v", 2), Metric("low", "doubleMin", "v"), Metric("high", "doubleMax", "v")]
     row = rollup(df, [], metrics, "DAY").first()
     assert (row["n"], row["s"], row["low"], row["high"]) == (4, 1e17 + 2.5, 2.5, 1e17)
+
+
+def test_audit_folds_without_copies(spark):
+    """Counts per datasource against plain counting, with a hot datasource and repeated lines; rows are not multiplied."""
+    rnd = random.Random(5)
+    rows = [("hot" if i % 3 else f"d{i % 7}", rnd.choice([None, *range(20)]), rnd.random() < 0.9, f"line{rnd.randrange(150)}") for i in range(900)]
+    rows = [(d, None if h is None else datetime(2024, 1, 1) + timedelta(hours=h), ok, f"{x}-{h}-{ok}") for d, h, ok, x in rows]
+    df = spark.createDataFrame(rows, f"d string, {TIME} timestamp, ok boolean, line string").repartition(4)
+    got = ingest_audit(df, F.col("ok"), ["2024-01-01T05:00/2024-01-01T15:00"], F.col("line"), F.col(TIME), ["d"])
+    want = {}
+    for d in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == d]
+        good = [r for r in own if r[2] and r[1]]
+        kept = [r for r in good if 5 <= r[1].hour < 15]
+        want[d] = (len(own), len(own) - len(good), len(good) - len(kept), len(kept) - len({r[3] for r in kept}), len({r[1] for r in kept}))
+    assert {r[0]: tuple(r[1:]) for r in got.collect()} == want
+    assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()
+    assert tuple(ingest_audit(df.where("false"), F.col("ok"), [], F.col("line")).first()) == (0, 0, 0, 0, 0)
+
+
+def test_a_key_named_like_a_metric_is_no_dimension(spark):
+    lines = spark.createDataFrame([('{"t":"2024-01-01","a":"x","count":"7"}',), ('{"t":"2024-01-01","a":"x"}',)], "value string")
+    spec = IngestSpec("d", "t", exclusions=("t",), metrics=(Metric("count", "count"),))
+    got = build_lines(lines, spec)
+    assert sorted(got.columns) == sorted([TIME, CHUNK, "a", "count"])
+    assert [(r["a"], r["count"]) for r in got.collect()] == [("x", 2)]

@@ -62,10 +62,15 @@ def with_ordered_maps(df: DataFrame, names: Iterable[str]) -> list[Column]:
 
 
 def content_hash(*cols: Column | str) -> Column:
-    """Base64 of the SHA-1 of the row as JSON text. Maps should be in order: ``with_ordered_maps``."""
+    """Base64 of the SHA-1 of the row as JSON text. For columns with maps take ``row_hash``, which puts them in order."""
     return F.base64(F.unhex(F.sha1(F.to_json(F.struct(*cols)))))
 
 
+def row_hash(df: DataFrame, names: Iterable[str]) -> Column:
+    """``content_hash`` of these columns of a frame, whatever the order in which maps were filled."""
+    return content_hash(*with_ordered_maps(df, names))
+
+
 _ENCODER = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 

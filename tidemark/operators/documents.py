@@ -101,18 +101,22 @@ def enrich_compaction(df: DataFrame, compaction: str = "compaction", spec: str =
 
 def extract_task_id(df: DataFrame, response: str = "response") -> DataFrame:
     """Add ``task_id``: ``task`` unless empty, else ``id`` unless empty, else an error."""
-    doc = F.try_parse_json(F.col(response))
+    members = F.map_entries(F.from_json(F.col(response), "map<string,variant>"))
 
-    def text_at(path: str) -> Column:
-        node = F.try_variant_get(doc, path, "variant")
+    def member(name: str) -> Column:
+        """Names match without case; of several the last counts."""
+        return F.try_element_at(F.filter(members, lambda e: F.lower(e["key"]) == name), F.lit(-1))["value"]
+
+    def text_at(name: str) -> Column:
+        node = member(name)
         return F.when(_kind_at(node) == "STRING", F.nullif(F.try_variant_get(node, "$", "string"), F.lit("")))
 
-    def well_typed(path: str) -> Column:
-        node = F.try_variant_get(doc, path, "variant")
+    def well_typed(name: str) -> Column:
+        node = member(name)
         return node.isNull() | _kind_at(node).isin("STRING", "VOID")
 
-    readable = map_like(F.col(response)) & well_typed("$.task") & well_typed("$.id")
-    found = F.when(readable, F.coalesce(text_at("$.task"), text_at("$.id")))
+    readable = map_like(F.col(response)) & well_typed("task") & well_typed("id")
+    found = F.when(readable, F.coalesce(text_at("task"), text_at("id")))
     return df.withColumn("task_id", found).withColumn(
         "error",
         F.when(~readable, F.lit("error parsing response")).when(found.isNull(), F.lit(NO_TASK_ID)),

@@ -97,16 +97,26 @@ def ingest_audit(
     """Counts of processed, unparseable, thrown away, duplicate and output rows.
 
     ``df`` has ``__time`` already. ``output_key`` is what a roll-up groups by;
-    without it every kept row is an output row.
+    without it every kept row is an output row. Rows with one ``duplicate_key``
+    have one output key.
+
+    Rows are folded in steps, to different lines, to output keys, to ``by``: each
+    row is shuffled once at most, and a hot datasource is spread by its lines.
     """
+    by = list(by)
     ok = F.coalesce(parsed_ok, F.lit(False)) & F.col(TIME).isNotNull()
     inside = ok & F.coalesce(in_intervals(F.col(TIME), intervals), F.lit(False))
-    kept = F.count(F.when(inside, 1))
-    output = kept if output_key is None else F.count_distinct(F.when(inside, output_key))
-    return df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("processed"),
-        F.count(F.when(~ok, 1)).alias("unparseable"),
-        F.count(F.when(ok & ~inside, 1)).alias("thrown_away"),
-        (kept - F.count_distinct(F.when(inside, duplicate_key))).alias("duplicate"),
-        output.alias("output"),
+    output = F.lit(None).cast("boolean") if output_key is None else F.when(F.col("__in"), output_key)
+    marked = df.withColumns({"__ok": ok, "__in": inside})
+    lines = marked.groupBy(*by, "__ok", "__in", output.alias("__out"), F.when(F.col("__in"), duplicate_key).alias("__line"))
+    keys = lines.agg(F.count(F.lit(1)).alias("n")).groupBy(*by, "__ok", "__in", "__out")
+    folded = keys.agg(F.sum("n").alias("n"), F.count("__line").alias("lines"))
+    kept = F.coalesce(F.sum(F.when(F.col("__in"), F.col("n"))), F.lit(0))
+    lined = F.coalesce(F.sum(F.when(F.col("__in"), F.col("lines"))), F.lit(0))
+    return folded.groupBy(*by).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("processed"),
+        F.coalesce(F.sum(F.when(~F.col("__ok"), F.col("n"))), F.lit(0)).alias("unparseable"),
+        F.coalesce(F.sum(F.when(F.col("__ok") & ~F.col("__in"), F.col("n"))), F.lit(0)).alias("thrown_away"),
+        (kept - lined).alias("duplicate"),
+        (kept if output_key is None else F.count(F.when(F.col("__in"), 1))).alias("output"),
     )

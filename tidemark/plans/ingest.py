@@ -67,9 +67,13 @@ def _text_fields(spec: IngestSpec) -> list[str]:
 
 
 def build_lines(lines: DataFrame, spec: IngestSpec, column: str = "value") -> DataFrame:
-    """Lines of JSON text -> rows of the table; dimensions are discovered if none is declared."""
+    """Lines of JSON text -> rows of the table; dimensions are discovered if none is declared.
+
+    A key that has the name of a metric is no dimension: the metric has the column.
+    """
     if not spec.dimensions:
-        names = discover_names(lines, column, spec.exclusions)
+        metrics = [m.name for m in spec.metrics] if spec.rolls_up else []
+        names = discover_names(lines, column, [*spec.exclusions, *metrics])
         spec = replace(spec, dimensions=tuple(Dimension(n) for n in names))
     return build(discover_dimensions(lines, column, names=_text_fields(spec)), spec)
 

@@ -38,6 +38,8 @@ def build_session(
         "spark.sql.streaming.stateStore.providerClass": (
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
         ),
+        # of a repeated key in a document the last counts
+        "spark.sql.variant.allowDuplicateKeys": "true",
         "spark.ui.showConsoleProgress": "false",
         **conf,
     }
