@@ -1,3 +1,4 @@
+import json
 import random
 from datetime import datetime, timedelta
 
@@ -13,11 +14,15 @@ from tidemark.operators.retention import (
     assign_tiers,
     broadcast_lookup,
 )
+from tidemark.operators.documents import rules_to_rows
+from tidemark.operators.rule_table import assign_rules_by_source, rule_bounds
 from tidemark.operators.shape import assign_chunk
 from tidemark.plans.maintain import compact_datasource, retain_datasource
 from tidemark.sources.tables import read_datasource, write_datasource
 from tidemark.spec import CHUNK, SEGMENT, TIME, Metric, Rule
 
+START = datetime(2024, 1, 1)
+
 
 def skewed(spark, seed, n=600):
     """One key owns a third of the rows; keys and values may be null."""
@@ -233,3 +238,30 @@ def test_second_runs_replace_the_target(spark, folder):
 def test_month_table_is_read_without_a_grain(spark, folder):
     write_datasource(assign_chunk(hours(spark, 40).drop(CHUNK), "MONTH"), folder, "m")
     assert read_datasource(spark, folder, "m", ["2024-01-02/2024-01-03"]).count() == 16
+
+
+def test_rule_rows_decide_as_rule_lists(spark):
+    """Many datasources, each with its own rules and one with most of the chunks, against the list of each; broken rules match nothing."""
+    rnd = random.Random(8)
+    kinds = [
+        lambda: {"type": "drop", "interval": f"2024-0{rnd.randrange(1, 4)}-1{rnd.randrange(10)}/2024-0{rnd.randrange(3, 6)}-2{rnd.randrange(9)}T0{rnd.randrange(9)}"},
+        lambda: {"type": "dropByPeriod", "period": rnd.choice(["P1M", "P40D", "P1W", "PT36H"]), "includeFuture": rnd.random() < 0.5},
+        lambda: {"type": "broadcastByPeriod", "period": rnd.choice(["P2M", "P3D"]), "includeFuture": rnd.random() < 0.5},
+        lambda: {"type": "load"} if rnd.random() < 0.3 else {"type": "drop", "interval": "2024-02-10/2024-02-11"},
+    ]
+    lists = {f"s{i}": [rnd.choice(kinds)() for _ in range(rnd.randrange(5))] for i in range(12)}
+    documents = [(k, json.dumps(v)) for k, v in lists.items()] + [("odd", '[{"type":"drop"},{"type":"dropByPeriod","period":"1D"},{"type":"x"},7,{"type":"load"}]')]
+    days = [START + timedelta(days=rnd.randrange(200)) for _ in range(150)]
+    rows = [("s3" if rnd.random() < 0.5 else f"s{rnd.randrange(12)}", d) for d in days] + [("odd", days[0]), ("none", days[1]), ("s1", days[2])]
+    chunks = spark.createDataFrame(sorted(set(rows)), f"k string, {CHUNK} timestamp").withColumn("__end", F.col(CHUNK) + F.expr("INTERVAL 1 DAY"))
+    table = rules_to_rows(spark.createDataFrame(documents, "k string, rules string"), "k")
+    got = {(r["k"], r[CHUNK]): (r["rule_index"], r["rule_type"], r["action"]) for r in assign_rules_by_source(chunks, table, "k", "2024-04-15").collect()}
+    want = {}
+    for k, rules in lists.items():
+        own = assign_rules(chunks.where(F.col("k") == k), [Rule.parse(r) for r in rules], "2024-04-15", "DAY").collect()
+        want.update({(k, r[CHUNK]): (r["rule_index"], r["rule_type"], r["action"]) for r in own})
+    want[("odd", days[0])] = (4, "load", "load")
+    want[("none", days[1])] = (None, None, "keep")
+    assert got == want
+    faults = {r["position"]: r["fault"] for r in rule_bounds(table.where("k = 'odd'"), "k", "2024-04-15").collect()}
+    assert faults == {0: "rule needs an interval", 1: "rule needs a period", 2: "unknown rule type", 3: "error unmarshalling rule", 4: None}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.chunks import assign_segment, chunk_summary, compact
+from tidemark.operators.documents import rules_to_rows
 from tidemark.operators.retention import (
     apply_retention,
     assign_rules,
@@ -14,6 +15,7 @@ from tidemark.operators.retention import (
     broadcast_lookup,
 )
 from tidemark.operators.rollup import merge_rollup, rollup
+from tidemark.operators.rule_table import assign_rules_by_source
 from tidemark.operators.shape import assign_chunk
 from tidemark.plans.maintain import compact_datasource, compact_table, retain_datasource, retain_table
 from tidemark.plans.queries.base import SQL_METRICS, VALUE_METRICS, events, query, table
@@ -276,3 +278,38 @@ def lookup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("lines"),
         F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("quantity"),
     )
+
+
+SOURCE_RULES = {
+    "click": '[{"type":"drop","interval":"2024-01-03/2024-01-05T12:00"},{"type":"dropByPeriod","period":"P7D"},{"type":"loadForever"}]',
+    "view": '[{"type":"loadForever"},{"type":"dropByPeriod","period":"P1M"}]',
+    "purchase": '[5,{"type":"broadcastByPeriod","period":"P2D","includeFuture":true},{"type":"drop","interval":"2023-12-01/2024-01-10"}]',
+    "error": "[]",
+}
+
+
+@query(
+    "rules_by_source",
+    """WITH c AS (SELECT event_type, date_trunc('day', ts) AS __chunk, count(*) AS rows FROM events GROUP BY ALL),
+            e AS (SELECT *, __chunk + INTERVAL 1 DAY AS __end FROM c),
+            r AS (SELECT *, CASE event_type
+                WHEN 'click' THEN CASE WHEN __chunk >= TIMESTAMP '2024-01-03' AND __end <= TIMESTAMP '2024-01-05 12:00:00' THEN 0
+                    WHEN __chunk >= TIMESTAMP '2024-01-24' AND __end <= TIMESTAMP '2024-01-31' THEN 1 ELSE 2 END
+                WHEN 'view' THEN 0
+                WHEN 'purchase' THEN CASE WHEN __end > TIMESTAMP '2024-01-29' THEN 1 WHEN __end <= TIMESTAMP '2024-01-10' THEN 2 END
+                END AS rule_index FROM e)
+       SELECT *, CASE event_type || rule_index WHEN 'click0' THEN 'drop' WHEN 'click1' THEN 'dropByPeriod' WHEN 'click2' THEN 'loadForever'
+                     WHEN 'view0' THEN 'loadForever' WHEN 'purchase1' THEN 'broadcastByPeriod' WHEN 'purchase2' THEN 'drop' END AS rule_type,
+              CASE event_type || rule_index WHEN 'click0' THEN 'drop' WHEN 'click1' THEN 'drop' WHEN 'click2' THEN 'load'
+                     WHEN 'view0' THEN 'load' WHEN 'purchase1' THEN 'broadcast' WHEN 'purchase2' THEN 'drop' ELSE 'keep' END AS action FROM r""",
+)
+def rules_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each kind of event is a datasource with a rule document of its own."""
+    rows = assign_chunk(events(spark, sf_dir), "DAY")
+    chunks = rows.groupBy("event_type", CHUNK).agg(F.count(F.lit(1)).alias("rows"))
+    chunks = chunks.withColumn(END, F.col(CHUNK) + F.expr("INTERVAL 1 DAY"))
+    document = F.lit(None).cast("string")
+    for source, text in SOURCE_RULES.items():
+        document = F.when(F.col("event_type") == source, F.lit(text)).otherwise(document)
+    documents = rows.select("event_type").distinct().withColumn("rules", document)
+    return assign_rules_by_source(chunks, rules_to_rows(documents, "event_type"), "event_type", AS_OF)
