@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.times import parse_time
 from tidemark.operators import metrics as M
+from tidemark.operators.exact import distinct_counts, exact_quantiles, true_ranks
 from tidemark.operators.rollup import merge_rollup, rollup
 from tidemark.operators.shape import (
     assign_chunk,
@@ -215,22 +216,43 @@ def distinct_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # An estimate at any size: no SQL gives the same values.
-@query("distinct_hll")
+# What the sketches promise: three standard errors of a distinct count, and a rank within a few in a hundred.
+HLL_ERROR, RANK_ERROR = 3 * 1.04 / 2**6, 0.0265
+
+
+@query(
+    "distinct_hll",
+    "SELECT date_trunc('day', ts) AS __time, count(DISTINCT user_id) AS users, true AS estimate_holds FROM events GROUP BY ALL",
+)
 def distinct_hll(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _distinct_users(spark, sf_dir, "hllSketch")
+    """Exact counts, and whether the merged sketches are within their error of them."""
+    estimates = _distinct_users(spark, sf_dir, "hllSketch").withColumnRenamed("users", "estimate")
+    days = events(spark, sf_dir).select(F.date_trunc("day", TIME).alias(TIME), "user_id")
+    holds = F.abs(F.col("estimate") - F.col("n")) <= F.greatest(F.col("n") * HLL_ERROR, F.lit(1))
+    counted = estimates.join(distinct_counts(days, [TIME], "user_id"), TIME)
+    return counted.select(TIME, F.col("n").alias("users"), holds.alias("estimate_holds"))
 
 
-# An estimate with a bounded rank error: no SQL gives the same values.
-@query("value_quantiles")
+@query(
+    "value_quantiles",
+    """SELECT date_trunc('month', ts) AS __time, event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95,
+              quantile_disc(value, 0.99) AS p99, true AS estimates_hold FROM events GROUP BY ALL""",
+)
 def value_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact quantiles by refined ranges, and whether the merged sketches give values of nearly those ranks."""
+    shares, by = (0.5, 0.95, 0.99), [TIME, "event_type"]
     sketch = [Metric("dist", "quantiles", "value")]
     hours = rollup(events(spark, sf_dir), ["event_type"], sketch, "HOUR")
     months = merge_rollup(hours, ["event_type"], sketch, "MONTH")
-    return months.select(
-        TIME,
-        "event_type",
-        *[F.kll_sketch_get_quantile_double("dist", F.lit(p)).alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)],
-    )
+    each = [F.struct(F.lit(p).alias("share"), F.kll_sketch_get_quantile_double("dist", F.lit(p)).alias("estimate")) for p in shares]
+    estimates = months.select(*by, F.explode(F.array(*each)).alias("e")).select(*by, "e.*")
+    rows = events(spark, sf_dir).select(F.date_trunc("month", TIME).alias(TIME), "event_type", "value")
+    ranks = true_ranks(rows, by, "value", estimates)
+    near = (F.col("below") - RANK_ERROR <= F.col("share")) & (F.col("share") <= F.col("upto") + RANK_ERROR)
+    held = ranks.groupBy(*by).agg(F.every(near).alias("estimates_hold"))
+    exact = exact_quantiles(rows, by, "value", shares)
+    wide = exact.groupBy(*by).agg(*[F.max(F.when(F.col("share") == p, F.col("quantile"))).alias(f"p{int(p * 100)}") for p in shares])
+    return wide.join(held, by)
 
 
 # click and view are counts, purchase a gauge in percent, error a timer; signup is not defined.
