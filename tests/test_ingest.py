@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.times import parse_time
 from tidemark.operators import shape
 from tidemark.operators.rollup import ingest_audit, merge_rollup, rollup
-from tidemark.plans.ingest import audit_lines, build_lines, ingest
+from tidemark.plans.ingest import DIMS, audit_lines, build_lines, build_stream_rows, build_wide, field_statistics, ingest
 from tidemark.sources.files import BAD_RECORD, read_json, read_lines, to_object_lines, write_object_lines
 from tidemark.sources.streams import period_seconds, publish_trigger
 from tidemark.sources.tables import read_datasource, write_datasource
@@ -75,11 +75,17 @@ def test_discovery(spark):
     assert shape.discover_names(df.where("false"), "value") == []
 
 
-def test_too_many_keys_is_an_error_not_a_cut(spark, monkeypatch):
-    monkeypatch.setattr(shape, "MAX_DISCOVERED", 2)
-    df = spark.createDataFrame([('{"a":1,"b":2,"c":3}',)], "value string")
-    with pytest.raises(ValueError):
-        shape.discover_names(df, "value")
+def test_lines_of_many_keys_need_no_columns(spark):
+    lines = [{"t": "2024-01-01", f"k{i % 5}": i % 3, "n": 1, "deep": {"b": 1, "a": [i % 2]}} for i in range(60)] + [{"t": "x"}]
+    df = spark.createDataFrame([(json.dumps(x),) for x in lines] + [("broken",), ('{"t":"2024-01-01","e":null}',)], "value string")
+    spec = IngestSpec("d", "t", exclusions=("t", "n"), metrics=(Metric("n", "doubleSum", "n"), Metric("k0", "count")))
+    got = build_wide(df, spec)
+    assert sorted(got.columns) == sorted([TIME, CHUNK, DIMS, "n", "k0"])
+    rows = {r[DIMS]: (r["n"], r["k0"]) for r in got.collect()}
+    assert len(rows) == 31 and rows['{"deep":"{\\"b\\":1,\\"a\\":[0]}","k0":"0"}'] == (2.0, 2)
+    stats = {r["field"]: tuple(r)[1:] for r in field_statistics(build_stream_rows(df, spec)).collect()}
+    assert stats["k3"] == (12, 0, 12, "0", "2") and stats["deep"][:3] == (60, 0, 0) and stats["e"][:2] == (1, 1)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
 
 
 def test_intervals_are_half_open(spark):

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.times import in_intervals, parse_time, truncated
 from tidemark.spec import CHUNK, TIME, Dimension, normal_grain
 
-# More keys than this are not one table's columns; discovery then stops with an error.
-MAX_DISCOVERED = 10_000
-
 
 def with_time(df: DataFrame, column: str, fmt: str = "iso") -> DataFrame:
     return df.withColumn(TIME, parse_time(F.col(column), fmt))
@@ -39,16 +36,14 @@ def discover_names(df: DataFrame, json_col: str, exclusions: Iterable[str] = ())
     """Sorted names of all keys that occur, but for the exclusions.
 
     One pass; partial aggregation leaves each task one row per name, and only
-    names come to the driver.
+    names come to the driver, which needs them as columns. For lines with more
+    keys than a table should have columns, see ``plans.ingest.build_wide``.
     """
     keys = df.select(F.explode(F.map_keys(F.from_json(F.col(json_col), "map<string,string>"))).alias("name"))
     left_out = list(exclusions)
     if left_out:
         keys = keys.where(~F.col("name").isin(left_out))
-    found = keys.distinct().limit(MAX_DISCOVERED + 1).collect()
-    if len(found) > MAX_DISCOVERED:
-        raise ValueError(f"more than {MAX_DISCOVERED} different keys: declare the dimensions")
-    return sorted(r["name"] for r in found)
+    return sorted(r["name"] for r in keys.distinct().collect())
 
 
 def discover_dimensions(
@@ -68,13 +63,6 @@ def discover_dimensions(
     return opened.select(*keep, "__doc.*")
 
 
-def dimension_map(json_col: Column, exclusions: Iterable[str] = ()) -> Column:
-    """The same keys as one ``map<string,string>``, for streams."""
-    left_out = list(exclusions)
-    found = F.from_json(json_col, "map<string,string>")
-    return F.map_filter(found, lambda k, _: ~k.isin(left_out)) if left_out else found
-
-
 def truncate_time(df: DataFrame, grain: str | None) -> DataFrame:
     return df if normal_grain(grain) is None else df.withColumn(TIME, truncated(F.col(TIME), grain))
 

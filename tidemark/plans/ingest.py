@@ -12,7 +12,6 @@ from tidemark.functions.times import parse_time, truncated
 from tidemark.operators.rollup import ingest_audit, rollup
 from tidemark.operators.shape import (
     assign_chunk,
-    dimension_map,
     discover_dimensions,
     discover_names,
     filter_intervals,
@@ -81,19 +80,51 @@ def build_lines(lines: DataFrame, spec: IngestSpec, column: str = "value") -> Da
 def build_stream_rows(lines: DataFrame, spec: IngestSpec, column: str = "value") -> DataFrame:
     """Lines of JSON text -> ``__time``, ``__dims`` and the inputs of the metrics.
 
-    A stream cannot look at all keys first, so the dimensions of a row are one
-    JSON text with sorted keys; ``expand_dimensions`` makes columns of them.
+    The dimensions of a row are one JSON text with sorted keys, so no key has to
+    be known first; ``expand_dimensions`` makes columns of those that are wanted.
+    A line is parsed once: the exploded map keeps later tests from being moved
+    below the parser, which would parse again.
     """
     inputs = metric_fields(spec)
-    fields = list(dict.fromkeys([spec.time_column, *inputs]))
-    ddl = ", ".join(f"`{f}` string" for f in fields)
-    found = dimension_map(F.col(column), spec.exclusions)
+    parsed = F.from_json(F.col(column), "map<string,string>")
+    opened = lines.select(F.explode(F.array(parsed)).alias("__doc"))
     if spec.dimensions:
         listed = list(spec.dimension_names)
-        found = F.map_filter(F.from_json(F.col(column), "map<string,string>"), lambda k, _: k.isin(listed))
-    opened = lines.select(F.from_json(F.col(column), ddl).alias("d"), sorted_map_json(found).alias(DIMS))
-    timed = opened.select(parse_time(F.col(f"d.`{spec.time_column}`"), spec.time_format).alias(TIME), DIMS, "d.*")
-    return _kept(timed, spec).select(TIME, DIMS, *[F.col(f"`{f}`").alias(f) for f in inputs])
+        found = F.map_filter("__doc", lambda k, _: k.isin(listed))
+    elif spec.exclusions:
+        left_out = list(spec.exclusions)
+        found = F.map_filter("__doc", lambda k, _: ~k.isin(left_out))
+    else:
+        found = F.col("__doc")
+    value = lambda name: F.try_element_at("__doc", F.lit(name))
+    timed = opened.select(
+        parse_time(value(spec.time_column), spec.time_format).alias(TIME),
+        sorted_map_json(found).alias(DIMS),
+        *[value(f).alias(f) for f in inputs],
+    )
+    return _kept(timed, spec).select(TIME, DIMS, *[F.col(f"`{f}`") for f in inputs])
+
+
+def build_wide(lines: DataFrame, spec: IngestSpec, column: str = "value") -> DataFrame:
+    """Lines of JSON text -> rows of the table with all dimensions in ``__dims``.
+
+    For lines of any number of different keys: none becomes a column, so none
+    is collected, and none can take the name of a metric. ``field_statistics``
+    tells what keys there are.
+    """
+    return _finish(build_stream_rows(lines, spec, column), spec, [DIMS])
+
+
+def field_statistics(rows: DataFrame, column: str = DIMS) -> DataFrame:
+    """``field, rows, nulls, numbers, least, greatest`` of each key in the JSON texts of a column."""
+    opened = rows.select(F.explode(F.from_json(F.col(column), "map<string,string>")).alias("field", "v"))
+    return opened.groupBy("field").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count(F.when(F.col("v").isNull(), 1)).alias("nulls"),
+        F.count(F.col("v").try_cast("double")).alias("numbers"),
+        F.min("v").alias("least"),
+        F.max("v").alias("greatest"),
+    )
 
 
 def expand_dimensions(df: DataFrame, names: list[str]) -> DataFrame:

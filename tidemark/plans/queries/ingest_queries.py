@@ -18,7 +18,7 @@ from tidemark.operators.shape import (
     truncate_time,
     with_time,
 )
-from tidemark.plans.ingest import audit_lines, build
+from tidemark.plans.ingest import audit_lines, build, build_stream_rows, build_wide, field_statistics
 from tidemark.plans.queries.base import SQL_METRICS, VALUE_METRICS, event_lines, events, query, table
 from tidemark.session import shared_folder
 from tidemark.sources.files import read_json, to_object_lines
@@ -255,6 +255,44 @@ def value_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.join(held, by)
 
 
+WIDE_SPEC = IngestSpec(
+    "orders",
+    "day",
+    exclusions=("day", "price"),
+    metrics=(Metric("count", "count"), Metric("price", "doubleSum", "price", scale=2)),
+    segment_granularity="MONTH",
+    query_granularity="MONTH",
+)
+
+
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line for each order with a key of its own, as many keys as orders, and one named like a metric."""
+    rows = table(spark, sf_dir, "orders")
+    own = F.concat(F.lit(',"k'), F.col("o_orderkey").cast("string"), F.lit('":"'), "o_orderstatus", F.lit('","count":"x"}'))
+    fixed = F.to_json(F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.col("o_totalprice").alias("price")))
+    return rows.select(F.concat(F.rtrim(fixed, F.lit("}")), own).alias("value"))
+
+
+@query(
+    "wide_rollup",
+    """SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS __time, date_trunc('month', o_orderdate)::TIMESTAMP AS __chunk,
+              '{"count":"x","k' || o_orderkey || '":"' || o_orderstatus || '"}' AS __dims, count(*) AS count,
+              CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS price FROM orders GROUP BY ALL""",
+)
+def wide_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roll-up of lines with more keys than a table can have columns."""
+    return build_wide(order_lines(spark, sf_dir), WIDE_SPEC)
+
+
+@query(
+    "field_statistics",
+    """SELECT 'k' || o_orderkey AS field, count(*) AS rows, 0 AS nulls, 0 AS numbers, min(o_orderstatus) AS least, max(o_orderstatus) AS greatest
+       FROM orders GROUP BY ALL UNION ALL SELECT 'count', count(*), 0, 0, 'x', 'x' FROM orders""",
+)
+def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return field_statistics(build_stream_rows(order_lines(spark, sf_dir), WIDE_SPEC))
+
+
 # click and view are counts, purchase a gauge in percent, error a timer; signup is not defined.
 METRIC_DOC = {
     "click": {"dimensions": ["user"], "type": "count"},
