@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bitmap, in_bitmap, query, saved, table
-from tidemark.llm.tokens import BASE, WordHashes, hashed, mixed, signed, slices, windows, within
+from tidemark.llm.tokens import BASE, Powers, mixed, signed, slices, windows, within, word_hashes
 
 MIN_WORDS = 20
 MARK_BITS = 1 << 28
@@ -71,16 +71,16 @@ def anchored(words: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarr
     return grams[place[first]], place[first], starts[first], starts[last], ranges
 
 
-def read_words(batch: pa.RecordBatch, known: WordHashes) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def read_words(batch: pa.RecordBatch, known: Powers) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     for part, texts in slices(batch):
-        yield part, *hashed([t.split() for t in texts], known)
+        yield part, *word_hashes(texts, known)
 
 
 def repeated_anchors(docs: DataFrame, length: int) -> DataFrame:
     """Column ``anchor``: those found twice or more, counted in each task before the shuffle."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known = Powers()
         for batch in batches:
             for _, words, ends in read_words(batch, known):
                 anchors, n = np.unique(anchored(words, ends, length)[0], return_counts=True)
@@ -100,7 +100,7 @@ def seeded_runs(docs: DataFrame, marks: np.ndarray, length: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(marks)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known = Powers()
         for batch in batches:
             for part, words, ends in read_words(batch, known):
                 anchors, place, first, last, ranges = anchored(words, ends, length)
@@ -130,7 +130,7 @@ def windows_of(docs: DataFrame, marks: np.ndarray, length: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(marks)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known = Powers()
         for batch in batches:
             for part, words, ends in read_words(batch, known):
                 anchors, place, first, last, ranges = anchored(words, ends, length)
@@ -220,11 +220,10 @@ def without_repeats(docs: DataFrame, length: int = MIN_WORDS, mark_bits: int = M
     joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("row") == F.col("of_row")), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known = Powers()
         for batch in batches:
             for part, texts in slices(batch):
-                split = [t.split() for t in texts]
-                words, ends = hashed(split, known)
+                words, ends = word_hashes(texts, known)
                 starts, first, _ = first_windows(words, ends, length)
                 depth = np.zeros(len(words) + 1, np.int64)
                 np.add.at(depth, starts[~first], 1)
@@ -235,8 +234,8 @@ def without_repeats(docs: DataFrame, length: int = MIN_WORDS, mark_bits: int = M
                         np.add.at(depth, np.array(end) + at, -1)
                 stays = np.cumsum(depth[:-1]) == 0
                 kept, removed = [], []
-                for of, a, b in zip(split, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                    left = np.flatnonzero(stays[a:b])
+                for text, a, b in zip(texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    left, of = np.flatnonzero(stays[a:b]), text.split()
                     removed.append(b - a - len(left))
                     kept.append(b" ".join([of[i] for i in left.tolist()] if removed[-1] else of))
                 yield pa.RecordBatch.from_arrays(

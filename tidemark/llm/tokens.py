@@ -48,6 +48,55 @@ def hashed(texts: list[list[bytes]], known: WordHashes) -> tuple[np.ndarray, np.
     return out, ends
 
 
+# Bytes of one step of hashing; a longer word is a step of its own.
+PIECE_BYTES = 1 << 20
+SPACE_BYTES = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+LETTER = np.random.default_rng(20_211_103).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+RADIX = BASE | 3
+
+
+class Powers:
+    """Powers of an odd radix and of its inverse modulo 2^64, as far as they were needed."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            both = [np.full(max(n, PIECE_BYTES) + 1, x, np.uint64) for x in (RADIX, pow(RADIX, -1, 1 << 64))]
+            for powers in both:
+                powers[0] = 1
+                np.cumprod(powers, out=powers)
+            self.up, self.down = both
+        return self.up, self.down
+
+
+def word_hashes(texts: list[bytes], powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words one after another, and where each text begins (one more: the end).
+
+    No word becomes an object: a word's hash is a difference of running sums of
+    its bytes, each times a power of its place, shifted back to place 0.
+    """
+    data = np.frombuffer(b" ".join(texts), np.uint8)
+    edges = np.flatnonzero(np.diff(~SPACE_BYTES[data], prepend=False, append=False))
+    starts, stops = edges[::2], edges[1::2]
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        base = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(stops, base + PIECE_BYTES, "right")))
+        piece = data[base : stops[j - 1]]
+        up, down = powers.upto(len(piece) + 1)
+        sums = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(LETTER[piece] * up[: len(piece)], out=sums[1:])
+        a, b = starts[i:j] - base, stops[i:j] - base
+        out[i:j] = mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * ODD[0])
+        i = j
+    begins = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(t) + 1 for t in texts], out=begins[1:])
+    return out, np.searchsorted(starts, begins)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(29))
