@@ -217,7 +217,17 @@ def without_repeats(docs: DataFrame, length: int = MIN_WORDS, mark_bits: int = M
         .groupBy(F.col("doc_id").alias("of"), F.col("row").alias("of_row"))
         .agg(F.collect_list(F.struct("begin", "end")).alias("gone"))
     )
-    joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("row") == F.col("of_row")), "left")
+    gone = saved(gone, "gone")
+    # texts that lose nothing to other texts need no join, so they are not shuffled
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(gone.select(F.xxhash64("of", "of_row")), mark_bits))
+    named = rows.withColumn("name", F.xxhash64("doc_id", "row"))
+
+    def marked(batches: Iterator[pa.RecordBatch], wanted: bool) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(sent.value, batch.column("name").to_numpy()) == wanted))
+
+    hit = named.mapInArrow(lambda batches: marked(batches, True), named.schema)
+    joined = hit.join(gone, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("row") == F.col("of_row")), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Powers()
@@ -243,9 +253,11 @@ def without_repeats(docs: DataFrame, length: int = MIN_WORDS, mark_bits: int = M
                     ["doc_id", "n_words", "n_removed", "text"],
                 )
 
-    return joined.select("doc_id", "text", F.col("gone.begin").alias("begins"), F.col("gone.end").alias("ends")).mapInArrow(
-        cut, "doc_id long, n_words long, n_removed long, text string"
-    )
+    none = F.lit(None).cast("array<int>")
+    kind = "doc_id long, n_words long, n_removed long, text string"
+    met = joined.select("doc_id", "text", F.col("gone.begin").cast("array<int>").alias("begins"), F.col("gone.end").cast("array<int>").alias("ends"))
+    rest = named.select("doc_id", "text", none.alias("begins"), none.alias("ends"), "name")
+    return met.mapInArrow(cut, kind).unionByName(rest.mapInArrow(lambda batches: cut(marked(batches, False)), kind))
 
 
 SQL = r"""
