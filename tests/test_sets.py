@@ -256,8 +256,9 @@ def test_changes_and_latest(spark):
     assert [x[:2] for x in got] == [("a", 1), ("a", 3), ("a", 5), ("b", 1), ("b", 2)]
     assert [x[3] for x in got] == [True, False, False, True, False]
     assert sorted(tuple(r) for r in S.latest_state(df, "k", ["o"]).collect()) == [("a", 5, "x"), ("b", 2, "y")]
-    with pytest.raises(ValueError):
-        S.status_changes(df, "k", ["s"], "s")
+    # an order by text needs nothing more
+    by_text = S.status_changes(df, "k", ["s", "o"], "s").collect()
+    assert sorted((r["k"], r["o"]) for r in by_text) == [("a", 1), ("a", 3), ("b", 1), ("b", 2)]
 
 
 def test_metric_map(spark):
