@@ -235,3 +235,22 @@ def test_a_proof_stops_early():
 
 def topk_batch(rows):
     return pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.list_(pa.int32()))], ["vec_id", "v"])
+
+
+def test_words_hashed_over_buffers_are_told_apart(monkeypatch):
+    """Bounds as split() has them, equal hashes for equal words only, also across steps of the buffer and in words longer than one."""
+    from tidemark.llm import tokens
+
+    rnd = random.Random(6)
+    texts = ["", " a b  a\n", "\t\x0b\x0c\r", "é b ba aab", "x" * 5000 + " y " + "x" * 4999, "a"]
+    texts += [" ".join("".join(rnd.choice("ab") for _ in range(rnd.randrange(1, 9))) for _ in range(200)) for _ in range(5)]
+    texts = [t.encode() for t in texts]
+    split = [t.split() for t in texts]
+    for step in (7, 64, 1 << 20):
+        monkeypatch.setattr(tokens, "PIECE_BYTES", step)
+        hashes, ends = tokens.word_hashes(texts, tokens.Powers())
+        assert ends.tolist() == [sum(map(len, split[:i])) for i in range(len(texts) + 1)]
+        named = {}
+        for word, h in zip((w for t in split for w in t), hashes.tolist(), strict=True):
+            assert named.setdefault(word, h) == h
+        assert len(set(named.values())) == len(named)
