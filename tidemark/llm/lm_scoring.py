@@ -11,13 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import query, saved, table
-from tidemark.llm.tokens import WordHashes, mixed, signed, slices
+from tidemark.llm.tokens import Powers, mixed, signed, slices, word_hashes
 
 BLOCK_BITS = 1 << 18
 BITS_PER_TOKEN = 4
 PROBES = 4
 WEIGHT = 0.25
 MAX_BROADCAST = 256 << 20
+# Text that a worker holds as arrays at a time: while it counts, and while it also holds a share.
+COUNTED_BYTES, PROBED_BYTES = 2 << 20, 1 << 20
 END = np.uint64(0x5851F42D4C957F2D)
 PAIR, LEVEL = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 UNI, BI = np.uint64(1), np.uint64(2)
@@ -29,15 +31,10 @@ def training(doc_id: Column | str) -> Column:
     return F.crc32(text.cast("binary")) % 7 != 2
 
 
-def sequences(texts: list[bytes], known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+def sequences(texts: list[bytes], known: Powers) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of all texts, each followed by the end token, and where each begins (one more: the end)."""
-    words = [t.lower().split() for t in texts]
-    ends = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum([len(w) + 1 for w in words], out=ends[1:])
-    out = np.full(int(ends[-1]), END, np.uint64)
-    for w, a, b in zip(words, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-        out[a : b - 1] = np.fromiter(map(known.__getitem__, w), np.uint64, b - a - 1)
-    return out, ends
+    words, ends = word_hashes([t.lower() for t in texts], known)
+    return np.insert(words, ends[1:], END), ends + np.arange(len(ends))
 
 
 def grams(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,9 +47,9 @@ def token_counts(train: DataFrame) -> DataFrame:
     """``token, n``: exact counts, added up in each slice, each task, then by shuffle."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known = Powers()
         for batch in batches:
-            for _, texts in slices(batch):
+            for _, texts in slices(batch, max_bytes=COUNTED_BYTES):
                 tokens, n = np.unique(sequences(texts, known)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(tokens)), pa.array(n)], ["token", "n"])
 
@@ -84,9 +81,9 @@ def filter_blocks(train: DataFrame, blocks: int) -> DataFrame:
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known = Powers()
         for batch in batches:
-            for _, texts in slices(batch):
+            for _, texts in slices(batch, max_bytes=COUNTED_BYTES):
                 keys, n = np.unique(np.concatenate(grams(sequences(texts, known)[0])), return_counts=True)
                 block, first = np.unique(block_of(keys, blocks), return_index=True)
                 last = np.r_[first[1:], len(keys)]
@@ -213,11 +210,11 @@ def probing(sent, blocks: int, total: int, distinct: int, weight: float):
     """Adds one share of counts and filter to what the rows carry."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known = Powers()
         token, n, bits, first = sent.value
         bloom = Filter(bits, first, blocks)
         for batch in batches:
-            for part, texts in slices(batch):
+            for part, texts in slices(batch, max_bytes=PROBED_BYTES):
                 tokens, ends = sequences(texts, known)
                 each, at = np.unique(tokens, return_inverse=True)
                 place = np.minimum(np.searchsorted(token, each), max(0, len(token) - 1))
