@@ -428,6 +428,7 @@ def test_line_dedup(spark, texts):
     want = line_brute(texts)
     got = {(r.doc_id, r.line_no): (r.kept_doc_id, r.kept_line_no) for r in QUERIES["op10_line_dedup"](spark, FOLDER).collect()}
     assert got.keys() <= want.keys() and len(got) >= 0.98 * len(want)
+    assert sum(want[k] == v for k, v in got.items()) >= 0.99 * len(got)
 
 
 def test_lines_agree_by_characters(spark):
@@ -445,6 +446,26 @@ def test_lines_agree_by_characters(spark):
     assert len(want) == 32 and got <= want and len(got) >= 31 and {(1, 0), (3, 2)} <= got
 
 
+def test_lines_of_a_crowd(spark):
+    """Lines of one template, strangers at about 0.70, with pairs at about 0.84 and 0.93 among them; kept lines compared as well."""
+    rng = np.random.default_rng(5)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+
+    def word(n):
+        return "".join(rng.choice(letters, n))
+
+    common, lines = " ".join(word(7) for _ in range(12)), []
+    for k in range(400):
+        own = word(20)
+        lines += [f"{common} {own}", f"{common} {own[:16] + word(4) if k % 2 else own[:10] + word(10)}"]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    want = line_brute(dict(enumerate(lines)))
+    got = {(r.doc_id, r.line_no): (r.kept_doc_id, r.kept_line_no) for r in line_dedup.duplicate_lines(docs).collect()}
+    assert len(want) == 400
+    right = sum(want.get(k) == v for k, v in got.items())
+    assert right == len(got) and right >= 0.95 * len(want)
+
+
 def test_line_dedup_odd_rows(spark, odd):
     gone = line_dedup.duplicate_lines(odd).collect()
     assert {(r.doc_id, r.kept_doc_id) for r in gone} == {(5, 4), (6, None)}
