@@ -127,6 +127,21 @@ def test_changes_over_batches_equal_one_batch(spark, folder):
     assert touched == [len({r[0] for r in part}) for part in (rows[:90], rows[90:95], rows[95:])]
 
 
+def test_changes_run_whatever_store_the_session_names(spark, folder):
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.unset(store)
+    try:
+        rows = [("a", datetime(2024, 1, 1), 1, "x"), ("a", datetime(2024, 1, 2), 2, "y"), ("b", datetime(2024, 1, 1), 3, "x")]
+        write_states(spark, folder, [rows])
+        source = spark.readStream.schema(SCHEMA).json(f"{folder}/in")
+        stream_status_changes(source, ["k"], ["t", "i"], "s", folder, f"{folder}/check").awaitTermination()
+        assert spark.conf.get(store, None) is None
+    finally:
+        spark.conf.set(store, before)
+    assert sorted(r.i for r in read_changes(spark, folder).collect()) == [1, 2, 3]
+
+
 def test_silent_keys_are_forgotten(spark, folder):
     start = datetime(2024, 1, 1)
     write_states(spark, folder, [[("a", start, 1, "x"), ("b", start, 2, "x")]])
