@@ -179,6 +179,25 @@ def test_near_copies_against_jaccard(spark):
     assert near_copies.first_of_near_copies(docs.limit(0)).count() == 0
 
 
+def test_near_dedup_stage_links_by_fingerprints_too(spark):
+    """Texts under 0.8 whose fingerprints lie within two bits; a copy of the second of them goes with both."""
+    rng = np.random.default_rng(3)
+    template = [f"t{x}" for x in range(100)]
+    texts = [" ".join(template + [f"c{k}x{i}" for i in range(14)]) for k in range(300)]
+    prints = [simhash_trie.majority(simhash_trie.shingle_hashes(t.encode(), corpus_pipeline.SHINGLE)) for t in texts]
+    a, b = min(((a, b) for b in range(300) for a in range(b)), key=lambda p: (prints[p[0]] ^ prints[p[1]]).bit_count())
+    assert (prints[a] ^ prints[b]).bit_count() <= simhash_trie.MAX_DIFFERENT
+    copy = texts[b].split()
+    copy[-8:] = [f"other{x}" for x in range(8)]
+    apart = " ".join(f"w{x}" for x in rng.integers(5000, size=80))
+    rows = [(3, texts[a]), (5, texts[b]), (7, " ".join(copy)), (9, apart), (None, texts[b]), (None, apart + " x")]
+    one, two, three = five_word_sets(rows)[:3]
+    assert len(one & two) < 0.8 * len(one | two) and len(one & three) < 0.8 * len(one | three) and len(two & three) >= 0.8 * len(two | three)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, FOLDER).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(3, texts[a]), (9, apart)])
+
+
 def test_rows_without_id_are_told_apart(spark):
     """A copy under a null or taken id goes, other texts under that id stay, in documents and in lines."""
     copy, other, third = ("\n".join(" ".join(f"{x}{k}w{i}" for i in range(12)) for k in range(2)) for x in "abc")

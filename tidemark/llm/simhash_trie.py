@@ -214,6 +214,15 @@ def links(distinct: DataFrame, budget: int = MAX_DIFFERENT, node_size: int = NOD
     return done if out is None else out.unionByName(done)
 
 
+def rooted(docs: DataFrame, budget: int, shingle: int, key: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, fp`` and ``key`` of the documents, and ``fp, first, root`` of their different fingerprints: the least id and what links lead to."""
+    found = saved(fingerprints(docs, shingle, key), "fingerprints")
+    distinct = saved(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    tied = components(links(distinct.select("fp"), budget))
+    joined = distinct.join(tied, F.col("fp") == F.col("node"), "left")
+    return found, saved(joined.select("fp", "first", F.coalesce("component", "fp").alias("root")), "rooted")
+
+
 def near_duplicates(
     docs: DataFrame, budget: int = MAX_DIFFERENT, shingle: int = SHINGLE, key: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -224,18 +233,18 @@ def near_duplicates(
     are linked like others. Rows that share a doc_id keep their own fingerprints;
     a null doc_id never names a component unless all ids in it are null.
     """
-    found = saved(fingerprints(docs, shingle, key), "fingerprints")
-    distinct = saved(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    tied = components(links(distinct.select("fp"), budget))
-    rooted = distinct.join(tied, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first", F.coalesce("component", "fp").alias("root")
-    )
-    rooted = saved(rooted, "rooted")
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select(F.col("fp").alias("of"), "component_id")
+    found, roots = rooted(docs, budget, shingle, key)
+    least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = roots.join(least, "root").select(F.col("fp").alias("of"), "component_id")
     return found.join(named, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id", *key)
 
 
+def linked_texts(docs: DataFrame, budget: int = MAX_DIFFERENT, shingle: int = SHINGLE) -> DataFrame:
+    """``h, g, root`` of the different texts; links within ``budget`` bits lead from each to its root."""
+    found, roots = rooted(docs, budget, shingle, tuple(text_key()))
+    return found.select("h", "g", "fp").distinct().join(roots, "fp").select("h", "g", "root")
+
+
 def one_of_each(docs: DataFrame, budget: int = MAX_DIFFERENT, shingle: int = SHINGLE) -> DataFrame:
     """The documents with the smallest id of their component; all columns stay.
 
