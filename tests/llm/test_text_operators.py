@@ -3,6 +3,7 @@
 import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tidemark.llm import (
     chat_format,
+    common,
     decontaminate,
     line_dedup,
     lm_scoring,
@@ -465,6 +467,23 @@ def test_lines_agree_by_characters(spark):
     assert len(want) == 32 and got <= want and len(got) >= 31 and {(1, 0), (3, 2)} <= got
 
 
+def test_saved_tables_leave_no_shuffle_behind(spark):
+    """The shuffle files of a saved table go with its write, and the setting that does it is as before."""
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(k).getName() for k in range(files.size())}
+
+    before = shuffled()
+    counted = spark.range(2000).groupBy((F.col("id") % 700).alias("k")).count()
+    assert len(common.saved(counted, "counted").collect()) == 700
+    assert spark.conf.get(common.FREED, None) is None
+    until = time.time() + 20
+    while (left := [x for x in shuffled() - before if x.startswith("shuffle_") and x.endswith(".data")]) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+
+
 def test_lines_of_a_crowd(spark):
     """Lines of one template, strangers at about 0.70, with pairs at about 0.84 and 0.93 among them; kept lines compared as well."""
     rng = np.random.default_rng(5)
