@@ -467,6 +467,33 @@ def test_lines_agree_by_characters(spark):
     assert len(want) == 32 and got <= want and len(got) >= 31 and {(1, 0), (3, 2)} <= got
 
 
+def spark_hash(*values):
+    """Spark's ``xxhash64`` of numbers (an int first) and bytes."""
+    h = 42
+    for k, v in enumerate(values):
+        h = xxhash.xxh64_intdigest(v if isinstance(v, bytes) else v.to_bytes(4 if k == 0 else 8, "little", signed=True), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_bands_against_their_rule(spark):
+    """Signatures and bands cut by hand: short lines, characters of 1 to 4 bytes, long lines of few or of late different shingles."""
+    rng = np.random.default_rng(11)
+    lines = ["x", "abcd", "abcde", "naïve 漢字 😀 text", "é" * 40, "ab" * 900, "ab" * 900 + "".join(rng.choice(list("cdefgh"), 90))]
+    lines += ["".join(rng.choice(list("abcdefé漢😀"), n)) for n in (9, 13, 14, 15, 60, 400)]
+    rows = spark.createDataFrame(list(enumerate(lines)), "k int, line string")
+    got = {r.k: r.bands for r in line_dedup.with_bands(rows, "line").collect()}
+    for k, x in enumerate(lines):
+        cut = {spark_hash(s.encode("utf-32-be")) for s in re.findall(line_dedup.SHINGLE, x)}
+        least = sorted(cut)[: line_dedup.SIGNATURE]
+        n, want = len(least), []
+        if n >= line_dedup.LEAST:
+            begins = [i for i in range(n - 4) if (least[i] & 0xFFFFFFFF) * n < line_dedup.ANCHORS << 32]
+            want += [spark_hash(5, *least[i : i + 5]) for i in begins]
+        if n < line_dedup.SHORT:
+            want += [spark_hash(2, *least[i : i + 2]) for i in range(max(1, n - 1))]
+        assert got[k] == want, x
+
+
 def test_saved_tables_leave_no_shuffle_behind(spark):
     """The shuffle files of a saved table go with its write, and the setting that does it is as before."""
 
